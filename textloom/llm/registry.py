@@ -1,8 +1,8 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import decontaminate, packing, sharding
+from . import decontaminate, kneser_ney, packing, pii, sharding
 
-_MODULES = (sharding, packing, decontaminate)
+_MODULES = (pii, sharding, kneser_ney, packing, decontaminate)
 
 
 def queries() -> dict:
