@@ -1,8 +1,8 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import decontaminate, kneser_ney, packing, pii, sharding
+from . import decontaminate, kneser_ney, packing, pii, sharding, topk
 
-_MODULES = (pii, sharding, kneser_ney, packing, decontaminate)
+_MODULES = (pii, sharding, kneser_ney, packing, topk, decontaminate)
 
 
 def queries() -> dict:
