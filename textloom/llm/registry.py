@@ -1,8 +1,8 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import decontaminate, kneser_ney, language, packing, pii, sharding, topk
+from . import decontaminate, kneser_ney, language, near_dup, packing, pii, sharding, topk
 
-_MODULES = (pii, sharding, kneser_ney, packing, language, topk, decontaminate)
+_MODULES = (pii, near_dup, sharding, kneser_ney, packing, language, topk, decontaminate)
 
 
 def queries() -> dict:
