@@ -114,9 +114,11 @@ class Tally:
 
 def packed(kind: int, part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
     """A row for each part; keys sorted within it."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     part, keys, counts = part[order], keys[order], counts[order]
-    at = np.flatnonzero(np.append(len(part) > 0, part[1:] != part[:-1])) if len(part) else []
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for a, z in zip(at, [*at[1:], len(part)], strict=True):
         yield (kind, int(part[a]), int(z - a), *squeeze(keys[a:z], counts[a:z]))
 

@@ -1,8 +1,8 @@
 """The queries of this subpackage and the SQL that checks them."""
 
-from . import decontaminate, kneser_ney, language, near_dup, packing, pii, sharding, topk, toxicity
+from . import decontaminate, kneser_ney, language, near_dup, packing, pii, quality, sharding, topk, toxicity
 
-_MODULES = (pii, near_dup, sharding, toxicity, kneser_ney, packing, language, topk, decontaminate)
+_MODULES = (pii, near_dup, quality, sharding, toxicity, kneser_ney, packing, language, topk, decontaminate)
 
 
 def queries() -> dict:
