@@ -118,6 +118,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items:
     )
 
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """text without the words that spans (first, last) name and the characters before each of them."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    tail = F.regexp_extract(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
+    left = F.filter(pieces, lambda p, i: ~F.exists(spans, lambda s: (s["first"] <= i + 1) & (i + 1 <= s["last"])))
+    return F.concat(F.array_join(left, ""), tail)
+
+
 def op10_broadcast_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "spans")
 

@@ -223,14 +223,14 @@ def margin(trees: list[tuple], c: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
-    """doc_id, base (spans), spans (base and accepted candidates): array<struct<start, rank, end, kind>> each.
+    """doc_id, text_hash, base (spans), spans (base and accepted candidates): array<struct<start, rank, end, kind>> each.
 
     One row for every row of docs, repeated ones too. A null text is empty and has none.
     An empty table gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("has_digit", F.col("text").rlike("[0-9]"))
-    seen = cut(docs.select("doc_id", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("wide")))
+    seen = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("wide")))
     seen = seen.withColumn("wide", F.filter("wide", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     names = ["kind", *FEATURES]
     combos = seen.select((fold(F.col("doc_id"), 2) == 0).alias("fit"), F.explode("wide").alias("c")).groupBy("fit", *(F.col(f"c.{f}").alias(f) for f in names)).count()
@@ -244,7 +244,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precis
         F.filter("wide", passes),
         lambda c: F.struct(c["start"].alias("start"), (F.lit(len(KINDS)) + sum((F.when(c["kind"] == k, i).otherwise(0) for i, k in enumerate(WIDE)), F.lit(0))).cast("int").alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")),
     )
-    return seen.select("doc_id", "base", F.array_sort(F.concat(F.col("base").cast(SPAN), more.cast(SPAN))).alias("spans"))
+    return seen.select("doc_id", "text_hash", "base", F.array_sort(F.concat(F.col("base").cast(SPAN), more.cast(SPAN))).alias("spans"))
 
 
 def written(spans: Column) -> Column:
