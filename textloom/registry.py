@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import analyze
+from .operators import analyze, validate
 
-MODULES = (analyze,)
+MODULES = (analyze, validate)
 
 
 def queries() -> dict:
