@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import analyze, validate
+from .operators import analyze, records, validate
 
-MODULES = (analyze, validate)
+MODULES = (analyze, validate, records)
 
 
 def queries() -> dict:
