@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import analyze, records, validate
+from .operators import analyze, chat, mixing, preference, records, validate
 
-MODULES = (analyze, validate, records)
+MODULES = (analyze, validate, records, preference, mixing, chat)
 
 
 def queries() -> dict:
