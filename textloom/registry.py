@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .operators import analyze, chat, mixing, preference, records, validate
+from .plans import pages
+from .streaming import queries as streams
 
-MODULES = (analyze, validate, records, preference, mixing, chat)
+MODULES = (analyze, validate, records, preference, mixing, chat, pages, streams)
 
 
 def queries() -> dict:
