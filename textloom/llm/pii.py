@@ -201,15 +201,17 @@ def leaf(tree: tuple, r: dict) -> float:
 
 
 def thresholds(trees: list[tuple], rows: list[dict], precision: float = PRECISION) -> dict[str, float]:
-    """For each kind the lowest score whose precision suffices, on rows held out from fitting; none: no candidate passes."""
+    """For each kind how low a positive score may be for its precision, on rows held out from fitting, to suffice:
+    down to halfway to the next lower score there. Where none does, no candidate passes."""
     out = {}
     for kind in WIDE:
         best, good, seen = math.inf, 0, 0
         scored = sorted(((sum(leaf(t, r) for t in trees), r["n"], r["y"]) for r in rows if r["kind"] == kind), reverse=True)
         for k, (s, n, y) in enumerate(scored):
             good, seen = good + n * y, seen + n
-            if s > 0 and good >= precision * seen and (k + 1 == len(scored) or scored[k + 1][0] < s):
-                best = s
+            below = scored[k + 1][0] if k + 1 < len(scored) else 0.0
+            if s > 0 and good >= precision * seen and below < s:
+                best = (s + max(below, 0.0)) / 2 if below > 0 else 1e-9
         out[kind] = best
     return out
 
