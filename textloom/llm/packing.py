@@ -4,8 +4,8 @@ One pass over the documents, no shuffle. A document's ids are cut into whole win
 `window` ids; the rest is cut into items of at most `item` ids. Items of a block are
 divided into m windows by the multiway differencing method: partial partitions, each m
 sums, are kept by spread; the two of largest spread merge with opposing imbalances (the
-largest sums of one meet the smallest of the other). m starts at the least that could
-hold the items and rises whenever a sum exceeds the window.
+largest sums of one meet the smallest of the other). m starts a little above the least that
+could hold the items and rises whenever a sum exceeds the window.
 
 A window's number is the task's partition number and a counter, so it is unique over the
 table; a task that is run anew writes all its rows anew.
@@ -14,6 +14,7 @@ table; a task that is run anew writes all its rows anew.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-WINDOW, ITEM, BLOCK, END_ID = 2048, 384, 4096, 1
+WINDOW, ITEM, BLOCK, END_ID = 2048, 384, 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -67,39 +68,120 @@ def windows_of(sizes: list[int], window: int) -> list[list[int]]:
     """Groups of sizes, none above window, as few as differencing finds from the lower bound upwards."""
     if not sizes:
         return []
-    m = max(1, -(-sum(sizes) // window))
+    m = max(1, -(-sum(sizes) * 201 // (200 * window)))  # half a percent above the bound, which hardly ever fits
     while True:
         groups = differencing(sizes, m)
         if max(sum(sizes[k] for k in g) for g in groups) <= window:
             return groups
-        m += max(1, m // 200)
+        m += max(1, m // 100)
 
 
-class _Ids(dict):
-    """Packed ids of words parted by blanks or line ends."""
+# one run of Latin letters, whose case and composition no neighbour changes, and a full stop or comma
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+CACHED = 400_000  # words of each of two generations
 
-    def __init__(self, path: str, most: int = 400_000):
-        super().__init__()
+
+def _one_byte(t: str) -> bool:
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Ids:
+    """Packed ids of words parted by blanks or line ends; texts are taken many at a time so that their new words are encoded together."""
+
+    def __init__(self, path: str, most: int = CACHED):
         from tokenizers import Tokenizer
 
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # what was young before; words still in use move back
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def of(self, text: str) -> bytes:
-        if "<|" in text:  # names of special tokens may hold or touch blanks
-            return self.packed([text])[0]
-        words = text.replace("\n", " ").split(" ")
-        new = list({w for w in words if w not in self})
-        if new:
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = list(set(words))
-            self.update(zip(new, self.packed(new), strict=True))
-        return b"".join(map(self.__getitem__, words))
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        for name, k in names.items():
+            self.ends[k] = name.endswith("</w>")
+        self.marks = {"": b"", ".": self.packed(["."])[0], ",": self.packed([","])[0]}
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        out: list = []
+        open_texts, new = [], set()
+        for t in texts:
+            if "<|" in t:  # names of special tokens may hold or touch blanks
+                out.append(self.packed([t])[0])
+                continue
+            if _one_byte(t):
+                t = t.lower()  # as the tokenizer does, each character by itself
+            words = t.replace("\n", " ").split(" ")
+            ids = list(map(self.young.get, words))
+            if None in ids:
+                open_texts.append((len(out), words, ids))
+                new.update(w for w, i in zip(words, ids, strict=True) if i is None)
+                out.append(None)
+            else:
+                out.append(b"".join(ids))
+        fresh = self.learned(new)
+        for at, words, ids in open_texts:
+            out[at] = b"".join([fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)])
+        return out
+
+    def learned(self, words: set[str]) -> dict[str, bytes]:
+        old, fresh, plain, odd = self.old, {}, [], []
+        for w in words:
+            ids = old.get(w)
+            if ids is not None:
+                fresh[w] = ids
+            elif m := _PLAIN.fullmatch(w):
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                odd.append(w)
+        stems = list({stem for _, stem, _ in plain if stem not in fresh and stem not in self.young})
+        fresh.update(zip(stems, self.letters(stems), strict=True))
+        for w, stem, mark in plain:
+            fresh[w] = (fresh.get(stem) or self.young[stem]) + self.marks[mark]
+        fresh.update(zip(odd, self.packed(odd), strict=True))
+        self.young.update(fresh)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        return fresh
+
+    def letters(self, words: list[str], together: int = 2000) -> list[bytes]:
+        """Words of letters alone, encoded as texts of many: each word ends with an id that says so."""
+        out: list[bytes] = []
+        groups = [words[k : k + together] for k in range(0, len(words), together)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            z = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(z) != len(group):
+                out += self.packed(group)
+                continue
+            whole, a = ids.tobytes(), 0
+            for end in z.tolist():
+                out.append(whole[a:end])
+                a = end
+        return out
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], words: _Ids, together: int = 2_000_000) -> Iterator[tuple]:
+    """Ids and packed tokens of every text, taken by about `together` characters at a time."""
+    docs: list = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            docs.append(doc)
+            texts.append(text)
+            size += len(text)
+            if size >= together:
+                yield from zip(docs, words.of(texts), strict=True)
+                docs, texts, size = [], [], 0
+    yield from zip(docs, words.of(texts), strict=True)
+
+
 def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, item: int = ITEM, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -130,19 +212,18 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
             rows.clear()
             return batch
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.of(text.as_py() or "") + end
-                n, at = len(ids) // 4, 0
-                while n - at >= window:
-                    rows.append((doc, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), n, (part << 40) + count, 0))
-                    count, at = count + 1, at + window
-                while at < n:
-                    size = min(item, n - at)
-                    items.append((doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
-                    at += size
-                if len(items) >= block:
-                    flush()
+        for doc, ids in encoded(batches, words):
+            ids += end
+            n, at = len(ids) // 4, 0
+            while n - at >= window:
+                rows.append((doc, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), n, (part << 40) + count, 0))
+                count, at = count + 1, at + window
+            while at < n:
+                size = min(item, n - at)
+                items.append((doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
+                at += size
+            if len(items) >= block:
+                flush()
             if len(rows) >= 10_000:
                 yield out()
         flush()
