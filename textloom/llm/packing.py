@@ -14,6 +14,7 @@ table; a task that is run anew writes all its rows anew.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -93,6 +94,7 @@ class _Ids:
     """Packed ids of words parted by blanks or line ends; texts are taken many at a time so that their new words are encoded together."""
 
     def __init__(self, path: str, most: int = CACHED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core; the library's threads would only wait for each other
         from tokenizers import Tokenizer
 
         self.young: dict[str, bytes] = {}
