@@ -141,7 +141,7 @@ def length_histogram_256(spark: SparkSession, d: str) -> DataFrame:
 
 
 def length_histogram_5(spark: SparkSession, d: str) -> DataFrame:
-    return length_histogram(_docs(spark, d).select(F.size(X.words(F.col("text"))).alias("k")).where("k < 400"), "k", 5)
+    return length_histogram(_docs(spark, d).select(F.size(X.words(F.col("text"))).alias("k")), "k", 5)
 
 
 def corpus_report(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +202,7 @@ SELECT doc_id, concat_ws(',', CASE WHEN len({_W}) < 300 THEN 'suspiciously_short
        CASE WHEN contains(text, chr(0)) OR contains(text, chr(65533)) OR contains(text, '????') THEN 'encoding_issues' END,
        CASE WHEN {_QUOTED} * 100.0::DOUBLE / greatest(length(text), 1) > 1.0 THEN 'high_dialogue_ratio' END) AS flags FROM documents""",
     "length_histogram_256": f"SELECT CAST(k // 256 * 256 AS BIGINT) AS bucket_lo, (k // 256 * 256) || '-' || (k // 256 * 256 + 256) AS label, count(*) AS n FROM (SELECT 2 * len({_W}) AS k FROM documents) GROUP BY 1, 2",
-    "length_histogram_5": f"SELECT CAST(k // 5 * 5 AS BIGINT) AS bucket_lo, (k // 5 * 5) || '-' || (k // 5 * 5 + 5) AS label, count(*) AS n FROM (SELECT len({_W}) AS k FROM documents) WHERE k < 400 GROUP BY 1, 2",
+    "length_histogram_5": f"SELECT CAST(k // 5 * 5 AS BIGINT) AS bucket_lo, (k // 5 * 5) || '-' || (k // 5 * 5 + 5) AS label, count(*) AS n FROM (SELECT len({_W}) AS k FROM documents) GROUP BY 1, 2",
     "corpus_report": f"""
 WITH x AS (SELECT source, CAST(sum(len({_W})) AS BIGINT) AS w, CAST(sum(length(text)) AS BIGINT) AS c FROM documents GROUP BY source)
 SELECT string_agg(source || ': ' || w || ' words, ' || c || ' characters', chr(10) ORDER BY w DESC, source) AS report FROM x""",

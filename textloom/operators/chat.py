@@ -79,7 +79,7 @@ def chat_records(spark: SparkSession, d: str) -> DataFrame:
 
 def sse_decode(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation's words sent as a stream with noise in between, and read back."""
-    words = _chat(spark, d).where("turn <= 1").select("conv_id", F.posexplode(F.split("text", " ")).alias("p", "w"), "turn")
+    words = _chat(spark, d).select("conv_id", F.posexplode(F.split("text", " ")).alias("p", "w"), "turn")
     data = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("w", F.lit(" ")).alias("content")).alias("delta"))).alias("choices"))))
     line = F.when(F.col("p") % 7 == 3, "data: {broken").when(F.col("p") % 7 == 5, ": keep-alive").otherwise(data)
     lines = words.select("conv_id", (F.col("turn") * 100000 + F.col("p")).alias("seq"), line.alias("line"))
@@ -87,7 +87,7 @@ def sse_decode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue_ranks(spark: SparkSession, d: str) -> DataFrame:
-    got = queue_positions(table(spark, d, "events").where("event_type = 'click'"), "user_id", "ts", "event_id", 2)
+    got = queue_positions(table(spark, d, "events"), "user_id", "ts", "event_id", 2)
     return got.select("event_id", F.col("position").cast("long").alias("position"))
 
 
@@ -110,8 +110,8 @@ SELECT conv_id, max(n) AS n_messages, string_agg(role || ': ' || left(text, 40),
 WITH x AS (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
 SELECT conv_id, count(*) AS n, sha256(string_agg('<|im_start|>' || role || chr(10) || CASE WHEN last AND role = 'user' THEN 'again' ELSE text END || '<|im_end|>' || chr(10), '' ORDER BY turn)) AS training_hash FROM x GROUP BY conv_id""",
     "sse_decode": """
-WITH x AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS p FROM conversations WHERE turn <= 1)
+WITH x AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS p FROM conversations)
 SELECT conv_id, sha256(string_agg(w || ' ', '' ORDER BY turn, p)) AS text_hash, count(*) AS n_tokens FROM x WHERE p % 7 <> 3 AND p % 7 <> 5 GROUP BY conv_id""",
-    "queue_ranks": "SELECT event_id, greatest(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 2, 0) AS position FROM events WHERE event_type = 'click'",
+    "queue_ranks": "SELECT event_id, greatest(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 2, 0) AS position FROM events",
     "role_counts": "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE role <> 'system' GROUP BY role",
 }

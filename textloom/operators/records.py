@@ -190,12 +190,12 @@ def book_frame_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def completion_clean(spark: SparkSession, d: str) -> DataFrame:
-    dirty = F.concat(F.when(F.col("doc_id") % 2 == 0, "Опишите это. ").otherwise("<SPECIAL_12> "), F.left("text", F.lit(200)))
+    dirty = F.concat(F.when(F.col("doc_id") % 2 == 0, "Опишите это. ").otherwise("<SPECIAL_12> "), F.col("text"))
     return _docs(spark, d).select("doc_id", X.clean_completion(dirty).alias("cleaned"))
 
 
 def html_escape(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", X.html_escaped(F.concat(F.lit("a<b & c\n"), F.left("text", F.lit(600)))).alias("escaped"))
+    return _docs(spark, d).select("doc_id", X.html_escaped(F.concat(F.lit("a<b & c\n"), F.col("text"))).alias("escaped"))
 
 
 def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +204,7 @@ def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
 
 def file_names(spark: SparkSession, d: str) -> DataFrame:
     """One safe name a title; titles that meet get _2, _3 and so on. The window holds one title's works."""
-    rows = _docs(spark, d).select("doc_id", X.safe_name(F.left(F.replace("text", F.lit(" "), F.lit('?:"')), F.lit(9))).alias("base"))
+    rows = _docs(spark, d, "source", "lang").select("doc_id", X.safe_name(F.concat(F.lit(". "), F.col("source"), F.lit('?:"'), F.col("lang"), F.lit("."))).alias("base"))
     k = F.row_number().over(Window.partitionBy("base").orderBy("doc_id"))
     return rows.select("doc_id", F.when(k == 1, F.col("base")).otherwise(F.concat_ws("_", "base", k)).alias("name"))
 
@@ -261,11 +261,11 @@ SELECT prompt, min(doc_id) AS doc_id FROM x WHERE length(prompt) > 20 GROUP BY p
 WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '(^|[^\n])\n([a-z])', '\1 \2', 'g'), '(^|[^\n])\n([a-z])', '\1 \2', 'g') AS t FROM documents)
 SELECT doc_id, sha256({Q.trimmed("regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g')")}) AS text_hash FROM x""",
     "book_frame_strip": "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text ELSE text || chr(10) END) AS text_hash FROM documents",
-    "completion_clean": f"SELECT doc_id, {Q.trimmed('left(text, 200)')} AS cleaned FROM documents",
-    "html_escape": "SELECT doc_id, 'a&lt;b &amp; c<br>' || replace(replace(replace(left(text, 600), '&', '&amp;'), '<', '&lt;'), chr(10), '<br>') AS escaped FROM documents",
+    "completion_clean": f"SELECT doc_id, {Q.trimmed('text')} AS cleaned FROM documents",
+    "html_escape": "SELECT doc_id, 'a&lt;b &amp; c<br>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), chr(10), '<br>') AS escaped FROM documents",
     "dehyphenate": "SELECT doc_id, sha256(text) AS text_hash FROM documents",
     "file_names": r"""
-WITH x AS (SELECT doc_id, left(trim(regexp_replace(left(replace(text, ' ', '?:"'), 9), '[<>:"/\\|?*]', '', 'g'), '. '), 200) AS b FROM documents),
+WITH x AS (SELECT doc_id, left(trim(regexp_replace('. ' || source || '?:"' || lang || '.', '[<>:"/\\|?*]', '', 'g'), '. '), 200) AS b FROM documents),
 y AS (SELECT doc_id, CASE WHEN b = '' THEN 'untitled' ELSE b END AS b FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS k FROM y)
 SELECT doc_id, CASE WHEN k = 1 THEN b ELSE b || '_' || k END AS name FROM z""",
 }
