@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, fold, mixed, shared_dir, table
+from .common import WordHashes, cut, fold, kept, mixed, shared_dir, table
 
 END = 0x9E3779B97F4A7C15  # the end token's hash: no word's
 FLUSH = 3_000_000  # tokens that a task holds before it sums them up
@@ -412,17 +412,6 @@ class Model:
         return n, sums(known.astype(np.int64)), sums(base), sums(np.log10(p))
 
 
-_models: dict[str, Model] = {}
-
-
-def model(info: dict) -> Model:
-    """One a worker process."""
-    if info["dir"] not in _models:
-        _models.clear()
-        _models[info["dir"]] = Model(info)
-    return _models[info["dir"]]
-
-
 def score(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs, learned from `trained`.
 
@@ -434,7 +423,7 @@ def score(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col:
     info = train(trained.select(as_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(info)
+        m = kept(("model", info["dir"]), lambda: Model(info))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, z in chunks(batch):

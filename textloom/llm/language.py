@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fold, table
+from .common import cut, fold, kept, table
 
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 60_000  # bounds of a language's sample
 BLOCK, BATCH_CHARS = 128, 1_500_000
@@ -100,18 +100,16 @@ class Languages:
             state = np.ones(grid.shape[0], dtype=np.int64)
             count = np.zeros(grid.shape[0], dtype=np.int64)
             for c in columns:
-                state = step[state * self.width + c].astype(np.int64)
-                broken = state == 0
-                count += broken & (c > 0)
-                state[broken] = 1  # the breaking letter ends its phrase
+                after = step[state * self.width + c].astype(np.int64)
+                broken = after == 0
+                count += broken & ((c > 0) | (state > 1))  # a letter, or the text's end inside a phrase
+                after[broken] = 1  # the breaking letter ends its phrase
+                state = after
             count += state > 1
             np.add.at(out[:, k], owner, count)
         return out, sizes
 
 
-_known: dict[int, Languages] = {}
-
-
 def samples_of(labelled: DataFrame, docs_most: int = SAMPLE_DOCS, chars_most: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """Per language the folded whole texts first in an order by hash, until either bound is met; the last text is cut at chars_most."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -140,10 +138,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     key = hash(tuple(sorted(samples.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _known:
-            _known.clear()
-            _known[key] = Languages(shared.value)
-        languages = _known[key]
+        languages = kept(("languages", key), lambda: Languages(shared.value))
 
         def answer(ids: list, texts: list[str]) -> pa.RecordBatch:
             plain = [folded(t) for t in texts]
