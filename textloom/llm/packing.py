@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, table
 
 WINDOW, ITEM, BLOCK, END_ID = 2048, 384, 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -79,7 +79,8 @@ def windows_of(sizes: list[int], window: int) -> list[list[int]]:
 
 # one run of Latin letters, whose case and composition no neighbour changes, and a full stop or comma
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-CACHED = 400_000  # words of each of two generations
+_MARKS = (".", ",")
+CACHED = 150_000  # words of each of two generations
 
 
 def _one_byte(t: str) -> bool:
@@ -95,11 +96,14 @@ class _Ids:
 
     def __init__(self, path: str, most: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core; the library's threads would only wait for each other
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # what was young before; words still in use move back
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # the same model for words of letters that are in their normal form already
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         for name, k in names.items():
@@ -108,51 +112,68 @@ class _Ids:
 
     def of(self, texts: list[str]) -> list[bytes]:
         out: list = []
-        open_texts, new = [], set()
+        open_texts: list[tuple] = []
+        latin, other = set(), set()
         for t in texts:
             if "<|" in t:  # names of special tokens may hold or touch blanks
                 out.append(self.packed([t])[0])
                 continue
+            new = other
             if _one_byte(t):
-                t = t.lower()  # as the tokenizer does, each character by itself
+                t, new = t.lower(), latin  # as the tokenizer does, each character by itself
             words = t.replace("\n", " ").split(" ")
             ids = list(map(self.young.get, words))
             if None in ids:
-                open_texts.append((len(out), words, ids))
-                new.update(w for w, i in zip(words, ids, strict=True) if i is None)
+                gaps = [k for k, i in enumerate(ids) if i is None]
+                open_texts.append((len(out), words, ids, gaps))
+                new.update([words[k] for k in gaps])
                 out.append(None)
             else:
                 out.append(b"".join(ids))
-        fresh = self.learned(new)
-        for at, words, ids in open_texts:
-            out[at] = b"".join([fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)])
+        fresh = self.learned(latin, other)
+        for at, words, ids, gaps in open_texts:
+            for k in gaps:
+                ids[k] = fresh[words[k]]
+            out[at] = b"".join(ids)
         return out
 
-    def learned(self, words: set[str]) -> dict[str, bytes]:
-        old, fresh, plain, odd = self.old, {}, [], []
-        for w in words:
+    def learned(self, latin: set[str], other: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not young; latin: words of one-byte lower-case texts."""
+        young, old, fresh, odd = self.young, self.old, {}, []
+        marked: list[tuple[str, str, str]] = []  # word, its letters in lower case, its mark
+        stems = set()
+        for w in latin:
             ids = old.get(w)
             if ids is not None:
                 fresh[w] = ids
-            elif m := _PLAIN.fullmatch(w):
-                plain.append((w, m[1].lower(), m[2]))
+            elif w.isalpha():
+                stems.add(w)
+            elif w[-1:] in _MARKS and w[:-1].isalpha():
+                marked.append((w, w[:-1], w[-1]))
             else:
                 odd.append(w)
-        stems = list({stem for _, stem, _ in plain if stem not in fresh and stem not in self.young})
-        fresh.update(zip(stems, self.letters(stems), strict=True))
-        for w, stem, mark in plain:
-            fresh[w] = (fresh.get(stem) or self.young[stem]) + self.marks[mark]
+        for w in other - latin:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                marked.append((w, m[1].lower(), m[2]))
+            else:
+                odd.append(w)
+        stems.update(stem for _, stem, _ in marked if stem not in fresh and stem not in young)
+        names = list(stems)
+        fresh.update(zip(names, self.letters(names), strict=True))
+        for w, stem, mark in marked:
+            fresh[w] = (fresh.get(stem) or young[stem]) + self.marks[mark]
         fresh.update(zip(odd, self.packed(odd), strict=True))
-        self.young.update(fresh)
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+        young.update(fresh)
+        if len(young) > self.most:
+            self.old, self.young = young, {}
         return fresh
 
     def letters(self, words: list[str], together: int = 2000) -> list[bytes]:
         """Words of letters alone, encoded as texts of many: each word ends with an id that says so."""
         out: list[bytes] = []
         groups = [words[k : k + together] for k in range(0, len(words), together)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
             z = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(z) != len(group):
@@ -193,7 +214,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     path = tokenizer_path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, count = _Ids(path), TaskContext.get().partitionId(), 0
+        words, part, count = kept(("ids", path), lambda: _Ids(path)), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], dtype="<u4").tobytes()
         rows: list[tuple] = []
         items: list[tuple] = []  # doc, start, length, checksum, doc's ids
