@@ -156,6 +156,23 @@ def test_near_duplicates_are_exact_components(spark):
     assert [got[k].kept for k in range(len(texts))] == [w == k for k, w in enumerate(want)]
 
 
+def test_links_inside_template_families(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [str(rng.random()) for _ in range(1600)]
+    texts = []
+    for _ in range(100):  # pairs of similarity 0.81 whose members have 0.75 with all others
+        at = [4 * k for k in rng.sample(range(1, 399), 48)]
+        both = {k: str(rng.random()) for k in at[:8]}
+        for own in (at[8:28], at[28:]):
+            new = both | {k: str(rng.random()) for k in own}
+            texts.append(" ".join(new.get(k, w) for k, w in enumerate(base)))
+    _, want = exact_components(texts, 4)
+    assert len(set(want)) == 100
+    monkeypatch.setattr(near_dup, "BLOCK", 70, raising=False)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, texts), size=4).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_sketch_estimates_similarity():
     words = near_dup.WordHashes()
     rng = random.Random(3)

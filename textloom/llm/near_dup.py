@@ -6,12 +6,13 @@
 2. Documents of equal sets are one node, the smallest id; only nodes go on.
 3. In each bucket every member is paired with the smallest: a star, so pairs are as many as
    members. Pairs are confirmed on full sets; connected components follow.
-4. Buckets that still hold several components go again by keys of three bands, under which
-   little stays together but what is similar: small buckets are paired between different
-   components, large ones by stars from their smallest and largest member.
+4. Buckets that still hold several components are open. What open buckets join, directly or
+   over others, is a family; all its members of different components are compared on full
+   sets, large families in pairs of blocks, each pair of blocks in a task. So no two
+   documents that share a bucket are left untested unless they are in one component already.
 5. Components are found by least labels with pointer jumping, each step checkpointed.
 
-A pair of similarity 0.8 shares none of the buckets with probability 5e-6.
+A pair of similarity 0.8 shares none of the buckets with probability 5e-6; nothing else is left to chance.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ from .common import WordHashes, cut, mixed, table
 BINS, ROWS = 240, 6
 BANDS = BINS // ROWS
 WORDS, SIMILAR = 5, 80  # the library's own setting; the op2 query takes four words
-FINE = ((1, 2), (3, 7), (5, 16))  # distances to the second and third band of a fine key
-SMALL = 32  # fine buckets up to this size are paired throughout
+BLOCK, BLOCK_ITEMS = 2_000, 1_000_000  # about the most documents and shingles of a family's block
 MOST_IDS = 1_000_000  # ids to broadcast to the scan; more go through a join
 
 _EDGES = np.array([(2**64 * k) // BINS for k in range(BINS)], dtype=np.uint64)
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     pairs = held.where(F.col("node") != F.col("b")).groupBy(F.col("node").alias("a"), "b", F.col("n").alias("na")).count().join(sizes, "b")
     links = confirmed(docs, pairs, size, similar)
     labels = components(links)
-    links = links.unionByName(_again(docs, banded, held, labels, size, similar))
+    links = links.unionByName(_again(docs, held, labels, size, similar))
     labels = components(links)
     found = nodes.join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("label", "node").alias("label"))
     out = sketch.join(found, ["s1", "s2", "n"], "left")
@@ -165,27 +165,52 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _again(docs: DataFrame, banded: DataFrame, held: DataFrame, labels: DataFrame, size: int, similar: int) -> DataFrame:
-    """Links between members of buckets that the stars left in several components."""
+def joining(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray, similar: int) -> list[tuple[int, int]]:
+    """Links between left and right (positions in sets) that join different labels, none of which others given here imply."""
+    labels, out = labels.copy(), []
+    sizes = np.array([len(sets[r]) for r in right])
+    items = np.concatenate([sets[r] for r in right])
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], np.repeat(np.arange(len(right)), sizes)[order]
+    for a in left:
+        if (labels[right] == labels[a]).all():
+            continue
+        at, to = np.searchsorted(items, sets[a], "left"), np.searchsorted(items, sets[a], "right")
+        n = to - at
+        common = np.bincount(owner[np.arange(n.sum()) + np.repeat(at - np.cumsum(n) + n, n)], minlength=len(right))
+        met = right[(common > 0) & (common * 100 >= (len(sets[a]) + sizes - common) * similar)]
+        while len(met := met[labels[met] != labels[a]]):
+            out.append((a, met[0]))
+            labels[labels == labels[met[0]]] = labels[a]
+    return out
+
+
+def _again(docs: DataFrame, held: DataFrame, labels: DataFrame, size: int, similar: int) -> DataFrame:
+    """Links between members of families of buckets that the stars left in several components."""
     labels = labels.select(F.col("node").alias("l_node"), "label")
-    placed = held.join(labels, held["node"] == labels["l_node"], "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    members = placed.join(open_keys, "key").select("node", "label").distinct()
-    fine = F.flatten(
-        F.array(*(F.transform("bands", lambda x, i: F.xxhash64(x, F.get("bands", F.pmod(i + p, F.lit(BANDS))), F.get("bands", F.pmod(i + q, F.lit(BANDS))), F.lit(k))) for k, (p, q) in enumerate(FINE)))  # noqa: B023
-    )
-    keyed = cut(members.join(banded, "node").select("node", "label", "n", F.explode(fine).alias("key")))
-    kept = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.min("node").alias("first"), F.max("node").alias("last")).where("lo <> hi")
-    kept = cut(kept.select("key", "members", "first", "last"))
-    inside = cut(keyed.join(kept, "key"))
-    small = inside.where(F.col("members") <= SMALL).select("key", "node", "label", "n")
-    x = small.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    y = small.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    pairs = x.join(y, "key").where("a > b AND la <> lb").select("a", "b", "na", "nb")
-    large = inside.where(F.col("members") > SMALL)
-    ends = large.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.array("first", "last")).alias("b")).where("a <> b").distinct()
-    sizes = banded.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    return confirmed(docs, pairs.unionByName(ends.join(sizes, "b").select("a", "b", "na", "nb")).distinct(), size, similar)
+    placed = held.join(labels, held["node"] == labels["l_node"], "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("key", "first")
+    members = cut(placed.join(open_keys, "key").select("node", "n", "label", "first").distinct())
+    family = components(members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("f_node"), F.col("label").alias("family"))
+    inside = cut(members.select("node", "n", "label").distinct().join(family, F.col("node") == F.col("f_node")).select("node", "n", "label", "family"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int")
+    sized = inside.groupBy("family").agg(blocks.alias("blocks"))
+    dealt = inside.select("node", "label", "family").distinct().join(sized, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = cut(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    sets = sets_of(docs, dealt.select("node").distinct(), size).distinct()
+    tasks = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label").join(sets, "node")
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        got = got.combine_chunks()
+        items = got["items"].combine_chunks()
+        flat, ends = items.flatten().to_numpy(), np.append(0, np.cumsum(items.value_lengths().to_numpy()))
+        sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        nodes, labels, block = (got[c].to_numpy() for c in ("node", "label", "block"))
+        links = joining(sets, labels, np.flatnonzero(block == i), np.flatnonzero(block == j), similar) if (block == i).any() and (block == j).any() else []
+        return pa.table({"a": pa.array([nodes[x] for x, _ in links], pa.int64()), "b": pa.array([nodes[y] for _, y in links], pa.int64())})
+
+    return cut(tasks.groupBy("family", "i", "j").applyInArrow(run, "a long, b long"))
 
 
 def op2_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
