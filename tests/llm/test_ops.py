@@ -251,6 +251,21 @@ def test_sharded_joins_give_the_direct_scores(spark):
     assert len(got) == len(rows) and all(abs(r.log10_prob - want[r.doc_id]) < 1e-3 * max(1, abs(want[r.doc_id]) / 1000) for r in got)
 
 
+def test_model_is_counted_on_all_trusted_up_to_12000(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def train(sample):
+        raise Seen(sample.count())
+
+    monkeypatch.setattr(quality.kn, "train", train)
+    labels = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    docs = labels.select("doc_id", F.lit("a b").alias("text"), F.lit("en").alias("lang"))
+    with pytest.raises(Seen) as seen:
+        quality.classify(docs, labels)
+    assert seen.value.args[0] == labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) % 4 != 0).count()
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     folder = "/root/testdata/sf0.01"
     got = quality.op3_trusted_perplexity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
