@@ -222,3 +222,10 @@ def test_corpus_pipeline_of_books(spark, tmp_path):
     assert held == 1 and train > 3
     assert validate.overlap(got["train"], got["eval"]).count() == 0
     assert json.loads(got["report"].toJSON().first())["parsed_input"] > 0
+
+
+def test_every_passage_has_an_instruction_record(spark):
+    folder = "/root/testdata/sf0.01"
+    want = {(r.doc_id, r.passage_idx) for r in records.passages_60_120(spark, folder).collect()}
+    assert max(k for _, k in want) > 0
+    assert {(r.doc_id, r.passage_idx) for r in records.QUERIES["instruction_records_all"](spark, folder).collect()} == want

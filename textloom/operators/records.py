@@ -148,11 +148,17 @@ def passages_60_120(spark: SparkSession, d: str) -> DataFrame:
 _EN = {"dialogue": "Write a dialogue about {}.", "no_hint": "anything", "reflection": "Write a reflection.", "action": "Write an action scene.", "theme": "Write a passage that begins with: {}."}
 
 
-def instruction_records(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d, "source").select("doc_id", "source", F.get(passages(F.col("text"), 60, 120, "\n"), F.lit(0)).alias("p")).where("p IS NOT NULL")
+def instruction_records_all(spark: SparkSession, d: str) -> DataFrame:
+    """A record for every passage of every document."""
+    rows = _docs(spark, d, "source").select("doc_id", "source", F.posexplode(passages(F.col("text"), 60, 120, "\n")).alias("passage_idx", "p"))
     told = instruction(F.col("p"), ["erentre", "keitver"], ["moron", "ciónbo"], _EN, '"', '"')
     msgs = messages(system_prompt(F.col("source"), prompts={"src1": "One.", "src2": "Two."}), told, F.col("p"))
-    return rows.select("doc_id", told.alias("instruction"), F.sha2(training_string(msgs), 256).alias("training_hash"))
+    return rows.select("doc_id", F.col("passage_idx").cast("long").alias("passage_idx"), told.alias("instruction"), F.sha2(training_string(msgs), 256).alias("training_hash"))
+
+
+def instruction_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the documents' first passages, as its SQL has it; instruction_records_all has every passage."""
+    return instruction_records_all(spark, d).where("passage_idx = 0").drop("passage_idx")
 
 
 def token_chunk_list(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +241,7 @@ _TYPES = "['" + "', '".join(f"type{k}" for k in range(10)) + "']"
 QUERIES = {
     f.__name__: f
     for f in (
-        passages_300_800, passages_60_120, instruction_records, token_chunk_list, chunk_stats, prompt_grid, prompt_dedup, unwrap_lines,
+        passages_300_800, passages_60_120, instruction_records, instruction_records_all, token_chunk_list, chunk_stats, prompt_grid, prompt_dedup, unwrap_lines,
         book_frame_strip, completion_clean, html_escape, dehyphenate, file_names,
     )
 }
@@ -247,6 +253,11 @@ WITH RECURSIVE {_passage_sql(60, 120)},
 x AS (SELECT g.doc_id, source, out[1] AS p FROM g JOIN documents d ON d.doc_id = g.doc_id WHERE len(out) > 0),
 y AS (SELECT doc_id, p, CASE source WHEN 'src1' THEN 'One.' WHEN 'src2' THEN 'Two.' ELSE 'You are a writer of fiction.' END AS s, {_INSTRUCT} AS instruction FROM x)
 SELECT doc_id, instruction, sha256('<|im_start|>system' || chr(10) || s || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || instruction || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || p || '<|im_end|>' || chr(10)) AS training_hash FROM y""",
+    "instruction_records_all": f"""
+WITH RECURSIVE {_passage_sql(60, 120)},
+x AS (SELECT g.doc_id, source, CAST(unnest(range(0, len(out))) AS BIGINT) AS passage_idx, unnest(out) AS p FROM g JOIN documents d ON d.doc_id = g.doc_id),
+y AS (SELECT doc_id, passage_idx, p, CASE source WHEN 'src1' THEN 'One.' WHEN 'src2' THEN 'Two.' ELSE 'You are a writer of fiction.' END AS s, {_INSTRUCT} AS instruction FROM x)
+SELECT doc_id, passage_idx, instruction, sha256('<|im_start|>system' || chr(10) || s || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || instruction || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || p || '<|im_end|>' || chr(10)) AS training_hash FROM y""",
     "chunk_stats": f"""
 WITH RECURSIVE {_passage_sql(300, 800)}, x AS (SELECT 2 * len({Q.words("q")}) AS n FROM (SELECT unnest(out) AS q FROM g))
 SELECT count(*) AS total_chunks, CAST(min(n) AS BIGINT) AS min_tokens, CAST(max(n) AS BIGINT) AS max_tokens, CAST(sum(n) AS BIGINT) AS total_tokens, CAST(sum(n) AS DOUBLE) / count(*) AS avg_tokens FROM x""",
