@@ -38,7 +38,7 @@ KINDS = list(BASE)
 WIDE = {
     "number": r"(?<![A-Za-z0-9])(?:[(]?[0-9]++[)]?[\x20.-]?){2,8}(?<=[0-9])(?![A-Za-z0-9])",
     "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{1,63}+){1,8}",
-    "secret": r"(?<![A-Za-z0-9])(?:(?i:password|passwd|pwd|token|secret|api_?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{8,128}+[\"']?|[A-Z0-9]{16,40}(?![A-Za-z0-9])|[0-9a-f]{16,128}(?![A-Za-z0-9]))",
+    "secret": r"(?<![A-Za-z0-9])(?:(?i:password|passwd|pwd|token|secret|api_?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{8,}+[\"']?|[A-Z0-9]{16,}+(?![A-Za-z0-9])|[0-9a-f]{16,}+(?![A-Za-z0-9]))",
 }
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 PRECISION = 0.95
