@@ -35,9 +35,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language: texts without a letter go, and long ones that no learned language explains better than another."""
     found = language.identify(docs, docs)
     hashed = docs.select(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.length("text").alias("n"))
-    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < UNSURE)).select("doc_id", "lang_pred").distinct()
+    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < UNSURE)).select("doc_id", "text_hash", "lang_pred").distinct()
     bad = _bounded(cut(bad))
-    gone = hashed.join(bad, hashed["d"].eqNullSafe(bad["doc_id"])).where((F.col("lang_pred") == language.UNKNOWN) | (F.col("n") >= UNSURE_CHARS))
+    gone = hashed.join(bad, hashed["d"].eqNullSafe(bad["doc_id"]) & (hashed["h"] == bad["text_hash"])).where((F.col("lang_pred") == language.UNKNOWN) | (F.col("n") >= UNSURE_CHARS))
     return _without(docs, gone.select("doc_id", "h"))
 
 

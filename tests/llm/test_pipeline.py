@@ -40,5 +40,12 @@ def test_stages_take_odd_and_empty_tables(spark):
     assert language.identify(odd, odd).where("lang_pred = 'und'").count() == 3
 
 
+def test_language_drops_the_rejected_text_of_an_id_alone(spark):
+    docs = documents(spark, [None, "12 34", "a real sentence", "another one"] * 2)
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") >= 4, F.lit(7)))
+    left = P.language_id(spark, docs, FOLDER).select("doc_id", "text").collect()
+    assert {(r.doc_id, r.text) for r in left} == {(i, t) for i in (None, 7) for t in ("a real sentence", "another one")} and len(left) == 4
+
+
 def test_run(spark):
     assert P.run(spark, FOLDER).count() > 100

@@ -125,7 +125,7 @@ def samples_of(labelled: DataFrame, docs_most: int = SAMPLE_DOCS, chars_most: in
 
 
 def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang_pred, score, phrases_per_letter, for every row of docs, learned from `labelled`.
+    """doc_id, text_hash, lang_pred, score, phrases_per_letter, for every row of docs, learned from `labelled`.
 
     score is how far the best language's phrases lie below the second's, as a share: 0 for
     a tie (the name first in order wins), and null texts and texts without
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = kept(("languages", key), lambda: Languages(shared.value))
 
-        def answer(ids: list, texts: list[str]) -> pa.RecordBatch:
+        def answer(ids: list, hashes: list[int], texts: list[str]) -> pa.RecordBatch:
             plain = [folded(t) for t in texts]
             names, scores, rates = [UNKNOWN] * len(ids), np.zeros(len(ids)), np.zeros(len(ids))
             if languages.names:
@@ -152,23 +152,26 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
                 scores = np.where(has, gap, 0.0)
                 rates = np.where(has, ranked[:, 0] / np.maximum(sizes, 1), 0.0)
                 names = [languages.names[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(scores), pa.array(rates)], names=["doc_id", "lang_pred", "score", "phrases_per_letter"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(names, pa.string()), pa.array(scores), pa.array(rates)], names=["doc_id", "text_hash", "lang_pred", "score", "phrases_per_letter"])
 
         ids: list = []
+        hashes: list[int] = []
         texts: list[str] = []
         held = 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, h, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 ids.append(i)
+                hashes.append(h)
                 texts.append(t)
                 held += len(t)
                 if held >= BATCH_CHARS:
-                    yield answer(ids, texts)
-                    ids, texts, held = [], [], 0
+                    yield answer(ids, hashes, texts)
+                    ids, hashes, texts, held = [], [], [], 0
         if ids:
-            yield answer(ids, texts)
+            yield answer(ids, hashes, texts)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, phrases_per_letter double")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, lang_pred string, score double, phrases_per_letter double")
 
 
 def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
