@@ -3,7 +3,9 @@
 1. A document's word shingles are hashed once; the hash range is cut into BINS, each bin
    keeps its least hash. An empty bin copies a filled one, the first by an order of its own
    (optimal densification). BANDS groups of bins give bucket keys.
-2. Documents of equal sets are one node, the smallest id; only nodes go on.
+2. Documents of equal sets are one node, known by a 64-bit hash of the set; only nodes go
+   on, each with the smallest id that holds it. Two different sets would share a hash with
+   probability (distinct sets)^2 / 2^65.
 3. In each bucket every member is paired with the smallest: a star, so pairs are as many as
    members. Pairs are confirmed on full sets; connected components follow.
 4. Buckets that still hold several components are open. What open buckets join, directly or
@@ -12,7 +14,11 @@
    documents that share a bucket are left untested unless they are in one component already.
 5. Components are found by least labels with pointer jumping, each step checkpointed.
 
-A pair of similarity 0.8 shares none of the buckets with probability 5e-6; nothing else is left to chance.
+Keys with more than HUB rows (the centre of a large star, a bucket or set that many share)
+are dealt over several tasks in every join on them, the other side's row going to each.
+
+A pair of similarity 0.8 shares none of the buckets with probability 5e-6; pairs that share
+one are all compared, or in one component without that.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, mixed, table
@@ -32,6 +38,7 @@ BANDS = BINS // ROWS
 WORDS, SIMILAR = 5, 80  # the library's own setting; the op2 query takes four words
 BLOCK, BLOCK_ITEMS = 2_000, 1_000_000  # about the most documents and shingles of a family's block
 MOST_IDS = 1_000_000  # ids to broadcast to the scan; more go through a join
+HUB, MOST_HUBS = 1_000, 50_000  # rows of a key that one task takes; keys to be dealt that may be sent to every task
 
 _EDGES = np.array([(2**64 * k) // BINS for k in range(BINS)], dtype=np.uint64)
 _ORDER = np.argsort(mixed(np.arange(BINS * BINS, dtype=np.uint64)).reshape(BINS, BINS), axis=1).argsort(axis=1).astype(np.uint8)
@@ -67,55 +74,83 @@ def bands(s: np.ndarray) -> np.ndarray:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+
+
+def set_hash(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - 2**63
+
+
+def lists(got: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum([len(g) for g in got])).astype(np.int32), np.concatenate(got) if got else np.zeros(0, np.int64))
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, s1, s2 (hash of the set), bands (empty where only equal sets can link)."""
-    least = 1 if SIMILAR == 0 else -(-SIMILAR // (100 - SIMILAR))  # a smaller set links with its equals alone
+    """doc_id, text_hash, n, node (hash of the set), bands (empty where only equal sets can link)."""
+    least = -(-SIMILAR // (100 - SIMILAR))  # a smaller set links with its equals alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n, s1, s2, keys = [], [], [], []
-            for text in texts:
+            n, node, keys = [], [], []
+            for text in batch.column("text").to_pylist():
                 s = shingles(text, words, size)
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
-                s1.append((d >> 64) - 2**63)
-                s2.append((d & (2**64 - 1)) - 2**63)
+                node.append(set_hash(s))
                 keys.append(bands(s) if len(s) >= least else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32), np.concatenate(keys) if keys else np.zeros(0, np.int64))],
-                names=["doc_id", "n", "s1", "s2", "bands"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists(keys)], names=["doc_id", "text_hash", "n", "node", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, node long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """node, items: the full sets of the documents named in ids (node)."""
-    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["node"], "left_semi")
+def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, items: the full set of every node (node, rep: the id of a document that holds it), once each."""
+    few = nodes.limit(MOST_IDS + 1).count() <= MOST_IDS
+    reps = nodes.select(F.col("rep")).distinct()
+    wanted = docs.join(F.broadcast(reps) if few else reps, docs["doc_id"] == reps["rep"], "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            got = [shingles(t, words, size).view(np.int64) for t in batch.column("text").to_pylist()]
-            sizes = np.append(0, np.cumsum([len(g) for g in got])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(sizes, np.concatenate(got) if got else np.zeros(0, np.int64))], names=["node", "items"])
+            got = [shingles(t, words, size) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_hash, got), pa.int64()), lists([g.view(np.int64) for g in got])], names=["node", "items"])
+
+    return wanted.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
 
-    return wanted.mapInArrow(run, "node long, items array<long>")
 
+def hubs_of(rows: DataFrame, key: str, members: str | None = None) -> DataFrame | None:
+    """key, parts: the keys with more than HUB rows, and over how many tasks to deal them; None if there are none.
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, similar: int) -> DataFrame:
-    """Of pairs (a, b, na, nb), those whose full sets have the similarity: a, b."""
-    possible = pairs.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar)).select("a", "b")
-    possible = cut(possible)
-    sets = cut(sets_of(docs, possible.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size))
+    members: the column of rows that holds their number, where it is known.
+    """
+    spark, most = rows.sparkSession, HUB
+    counts = rows.select(key, F.col(members).alias("c")) if members else rows.groupBy(key).agg(F.count("*").alias("c"))
+    while len(got := counts.where(F.col("c") > most).limit(MOST_HUBS + 1).collect()) > MOST_HUBS:
+        most *= 4
+    return F.broadcast(spark.createDataFrame([(r[key], -(-r["c"] // most)) for r in got], f"{key} long, parts int")) if got else None
+
+
+def met(left: DataFrame, right: DataFrame, on: str, hubs: DataFrame | None, by: Column) -> DataFrame:
+    """left joined with right on a column of both; rows of hubs are dealt by a hash of `by`, right's go to each part."""
+    if hubs is None:
+        return left.join(right, on)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = left.join(hubs, on, "left").withColumn("part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
+    copied = right.join(hubs, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(copied, [on, "part"]).drop("part")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, similar: int) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose full sets have the similarity: a, b."""
+    hubs = hubs_of(pairs, "b")
+    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+    pairs = met(pairs, nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b", hubs, F.col("a"))
+    possible = cut(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar).select("a", "b"))
+    ends = possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(sets_of(docs, cut(nodes.join(ends, "node", "left_semi").select("node", "rep")), size))
     left = possible.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    both = met(left, sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b", hubs, F.col("a"))
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * similar).select("a", "b").distinct())
 
@@ -123,46 +158,52 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, similar: int) -> Dat
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of each node's component, for the nodes that links (a, b) name."""
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = hubs_of(both, "b")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("was"))
-        to = step.select(F.col("node").alias("t"), F.col("label").alias("jump"))
-        new = cut(step.join(to, step["label"] == to["t"], "left").select("node", F.least("label", F.coalesce("jump", "label")).alias("label"), "was"))
+        told = met(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs, F.col("a"))
+        near = told.groupBy("a").agg(F.min("label").alias("m"))
+        step = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("at"), F.col("label").alias("was")))
+        to = step.select(F.col("node").alias("at"), F.col("at").alias("jump"))
+        new = cut(met(step, to, "at", hubs_of(step, "at"), F.col("node")).select("node", F.least("at", "jump").alias("label"), "was"))
         if new.where(F.col("label") != F.col("was")).isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+    """doc_id, text_hash, n_shingles, component_id, kept for every row of docs.
 
-    Two documents link if 100 * intersection >= similar * union of their sets (similar at
+    Two texts link if 100 * intersection >= similar * union of their sets (similar at
     least SIMILAR, for which the bands are laid out). Null and empty texts have no
-    shingles and link with nothing. Equal texts link at once; rows repeated with one id
-    are the same document and each get a row. Rows without id link with nothing: their
-    component is null and they are kept. An empty table gives no rows. Other columns are
-    not read.
+    shingles and link with nothing. Equal texts link at once. Rows repeated with one id
+    and text get a row each; an id's other texts are documents of their own. Rows without
+    id link with nothing: their component is null and they are kept. An empty table gives
+    no rows. Other columns are not read. text_hash: xxhash64, of a null text that of "".
     """
     if similar < SIMILAR:
         raise ValueError(f"the bands find pairs of similarity {SIMILAR} or more")
     docs = _source(docs, id_col, text_col)
     sketch = cut(sketched(docs, size))
-    nodes = cut(sketch.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")))
-    banded = cut(sketch.where(F.size("bands") > 0).join(nodes.select("node"), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").distinct())
-    rows = banded.select("node", "n", F.explode("bands").alias("key"))
-    stars = rows.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("members")).where(F.col("members") > 1).select("key", "b")
-    held = cut(rows.join(stars, "key"))
-    sizes = banded.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = held.where(F.col("node") != F.col("b")).groupBy(F.col("node").alias("a"), "b", F.col("n").alias("na")).count().join(sizes, "b")
-    links = confirmed(docs, pairs, size, similar)
+    linking = sketch.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    nodes = cut(linking.groupBy("node", "n").agg(F.min("doc_id").alias("rep")))
+    one = linking.where(F.size("bands") > 0).join(nodes.select("node", "rep"), (linking["node"] == nodes["node"]) & (F.col("doc_id") == F.col("rep")), "left_semi")
+    rows = cut(one.select("node", "bands").distinct()).select("node", F.explode("bands").alias("key"))
+    stars = cut(rows.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("members")).where(F.col("members") > 1))
+    crowded = hubs_of(stars, "key", "members")
+    held = cut(met(rows, stars.select("key", "b"), "key", crowded, F.col("node")))
+    pairs = cut(held.where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct())
+    links = confirmed(docs, pairs, nodes, size, similar)
     labels = components(links)
-    links = links.unionByName(_again(docs, held, labels, size, similar))
+    links = links.unionByName(_again(docs, held, labels, nodes, crowded, size, similar))
     labels = components(links)
-    found = nodes.join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("label", "node").alias("label"))
-    out = sketch.join(found, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    placed = cut(nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")))
+    least = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
+    found = met(placed.select("node", "label"), least, "label", hubs_of(placed, "label"), F.col("node")).select("node", "component_id")
+    told = met(linking.select("doc_id", "text_hash", "n", "node"), found, "node", hubs_of(linking, "node"), F.monotonically_increasing_id())
+    alone = sketch.where((F.col("n") == 0) | F.col("doc_id").isNull()).withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")]
+    return told.select(*columns).unionByName(alone.select(*columns))
 
 
 def joining(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray, similar: int) -> list[tuple[int, int]]:
@@ -185,19 +226,18 @@ def joining(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right:
     return out
 
 
-def _again(docs: DataFrame, held: DataFrame, labels: DataFrame, size: int, similar: int) -> DataFrame:
+def _again(docs: DataFrame, held: DataFrame, labels: DataFrame, nodes: DataFrame, crowded: DataFrame | None, size: int, similar: int) -> DataFrame:
     """Links between members of families of buckets that the stars left in several components."""
-    labels = labels.select(F.col("node").alias("l_node"), "label")
-    placed = held.join(labels, held["node"] == labels["l_node"], "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    placed = cut(held.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("key", "first")
-    members = cut(placed.join(open_keys, "key").select("node", "n", "label", "first").distinct())
-    family = components(members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("f_node"), F.col("label").alias("family"))
-    inside = cut(members.select("node", "n", "label").distinct().join(family, F.col("node") == F.col("f_node")).select("node", "n", "label", "family"))
+    members = cut(met(placed, open_keys, "key", crowded, F.col("node")).select("node", "label", "first").distinct())
+    family = components(members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))).select("node", F.col("label").alias("family"))
+    inside = cut(members.select("node", "label").distinct().join(family, "node").join(nodes, "node").select("node", "rep", "n", "label", "family"))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int")
     sized = inside.groupBy("family").agg(blocks.alias("blocks"))
-    dealt = inside.select("node", "label", "family").distinct().join(sized, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = met(inside.select("node", "label", "family"), sized, "family", hubs_of(inside, "family"), F.col("node")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = cut(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    sets = sets_of(docs, dealt.select("node").distinct(), size).distinct()
+    sets = sets_of(docs, inside.select("node", "rep"), size)
     tasks = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label").join(sets, "node")
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
@@ -214,7 +254,7 @@ def _again(docs: DataFrame, held: DataFrame, labels: DataFrame, size: int, simil
 
 
 def op2_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("text_hash")
 
 
 _SETS = """
