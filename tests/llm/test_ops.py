@@ -181,6 +181,33 @@ def test_links_inside_template_families(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("hub", [1000, 5])
+def test_no_link_of_dense_families_is_lost(spark, monkeypatch, hub):
+    """Variants of one text and near copies of each; hub: with all larger stars and buckets dealt over tasks."""
+    rng, texts = random.Random(5), []
+    for size, families in ((24, 6), (80, 2)):
+        for f in range(families):
+            base = [f"b{f}_{size}_{k}" for k in range(400)]
+            for _ in range(size // 2):
+                for n in (7, 11):
+                    base_now = base if n == 7 else variant
+                    variant = [str(rng.random()) if k in at else w for at in [set(rng.sample(range(400), n))] for k, w in enumerate(base_now)]
+                    texts.append(" ".join(variant))
+    texts += ["one text that many rows share"] * 40
+    _, want = exact_components(texts, 4)
+    monkeypatch.setattr(near_dup, "HUB", hub)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(spark, texts), size=4).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    rows = [(0, "a b c d e f g h"), (1, "a b c d e f g h"), (1, "x y z w v u"), (5, "l m n o p q"), (5, "1 2 3 4 5 6"), (3, "l m n o p q"), (9, "1 2 3 4 5 6"), (None, "x y z w v u"), (None, None), (7, ""), (7, "")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4)
+    found = got.select("doc_id", "n_shingles", "component_id", "kept").collect()
+    want = [(0, 5, 0, True), (1, 5, 0, False), (1, 3, 1, True), (3, 3, 3, True), (5, 3, 3, False), (5, 3, 5, True), (9, 3, 5, False), (None, 3, None, True), (None, 0, None, True), (7, 0, 7, True), (7, 0, 7, True)]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+
 def test_sketch_estimates_similarity():
     words = near_dup.WordHashes()
     rng = random.Random(3)
@@ -281,21 +308,100 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert n.get((1, False), 0) <= 0.03 * n[1, True] and n[0, False] >= 0.7 * (n[0, False] + n.get((0, True), 0))
 
 
-def test_toxicity_finds_held_out_rows(spark):
+def toxic_texts():
     rng = random.Random(6)
     word = lambda: "".join(rng.choice(["an", "the", "er", "on", "st"]) for _ in range(rng.randrange(1, 4)))
     texts, labels = [], []
     for k in range(400):
-        w, y = [word() for _ in range(rng.randrange(5, 80))], k % 4 == 0
+        w, y = [word() for _ in range(rng.randrange(5, 80))], int(k % 4 == 0)
         for _ in range(3 * y):
-            w.insert(rng.randrange(len(w)), rng.choice(["vile", "rotten", "vileness"]))
+            w.insert(rng.randrange(len(w)), rng.choice(["vile", "rotten", "vileness", "you fool"]))
         texts.append(" ".join(w))
-        labels.append((k, int(y)))
-    model = toxicity.fit([(texts[k], y) for k, y in labels[:300]], 1 / 3)
-    s = toxicity.scored(model, texts[300:] + ["", "so rotten vilely"])
-    y = np.array([y for _, y in labels[300:]])
-    assert ((s[:100] >= toxicity.LIMIT) == y).mean() > 0.97 and s[100] < 0.3
-    assert toxicity.scored(toxicity.fit([("a", 0)], 0.0), ["x"])[0] == 0
+        labels.append(y)
+    return texts, labels
+
+
+def test_toxicity_finds_held_out_rows(spark):
+    texts, y = toxic_texts()
+    labels = spark.createDataFrame([(k, v) for k, v in enumerate(y[:300])] + [(None, 1), (7000, 1), (5, 9)], "doc_id long, toxic int")
+    model = toxicity.train(documents(spark, texts), labels)
+    s = {r.doc_id: r.score for r in toxicity.score(documents(spark, texts + ["", "so rotten vilely", None]), model).collect()}
+    assert np.mean([(s[k] >= toxicity.LIMIT) == y[k] for k in range(300, 400)]) > 0.97
+    assert s[400] < 0.3 and s[402] == s[400] and s[401] > s[400]
+    one = toxicity.train(documents(spark, texts), labels.where("toxic = 0"))
+    assert {r.score for r in toxicity.score(documents(spark, ["x"]), one).collect()} == {0.0}
+
+
+def test_class_likelihoods_equal_direct_counting(spark):
+    """Counting in Spark, probabilities of words and pairs, and a text's ratio, against plain loops."""
+    texts, y = toxic_texts()
+    df = spark.createDataFrame(list(zip(y, texts, strict=True)), "y int, text string")
+    words, pairs = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for t, k in zip(texts, y, strict=True):
+        w = t.split()
+        for x in set(w):
+            words[x][k] += 1
+        for x in set(zip(w, w[1:], strict=False)):
+            pairs[x][k] += 1
+    rows = toxicity.counted(df).collect()
+    assert {r.word: [r.n0, r.n1] for r in rows if r.word is not None} == words
+    of = lambda h: toxicity.name_hash(h) - 2**64 * (toxicity.name_hash(h) >= 2**63)
+    totals = defaultdict(lambda: [0, 0])
+    for (v, _), n in pairs.items():
+        totals[v][0] += n[0]
+        totals[v][1] += n[1]
+    kept_pairs = {p: n for p, n in pairs.items() if sum(n) > 1}
+    assert {(r.v, r.w): [r.n0, r.n1, r.t0, r.t1] for r in rows if r.word is None} == {(of(v), of(w)): n + totals[v] for (v, w), n in kept_pairs.items()}
+
+    def discount(counts):
+        return [0, *kneser_ney.discounts([sum(1 for c in counts if c == k) for k in (1, 2, 3, 4)])]
+
+    left = lambda c, d: max(c - d[min(c, 3)], 0)
+    spread = {w: sum(c > 0 for c in n) for w, n in words.items()}
+    p, share_above = {w: [1.0, 1.0] for w in words}, {w: sum(spread.values()) for w in words}
+    for size in (*toxicity.BEGINNINGS, None):
+        new = {}
+        for k in (0, 1):
+            forms = Counter()
+            for w, n in words.items():
+                forms[w[:size]] += n[k]
+            d, total = discount(forms.values()), sum(forms.values())
+            rest = total - sum(left(c, d) for c in forms.values()) + toxicity.STRENGTH * total
+            for w in words:
+                share = sum(s for x, s in spread.items() if x[:size] == w[:size]) / share_above[w]
+                new.setdefault(w, []).append((left(forms[w[:size]], d) + rest * p[w][k] * share) / (total + toxicity.STRENGTH * total))
+        share_above = {w: sum(s for x, s in spread.items() if x[:size] == w[:size]) for w in words}
+        p = new
+    assert all(abs(sum(p[w][k] for w in words) - 1) < 1e-9 for k in (0, 1))
+    both, own = discount([sum(n) for n in kept_pairs.values()]), [discount([n[k] for n in kept_pairs.values()]) for k in (0, 1)]
+
+    def ratio(v, w):
+        followers = {x: n for (u, x), n in kept_pairs.items() if u == v}
+        if not followers:
+            return math.log(p[w][1] / p[w][0])
+        out = []
+        for k in (0, 1):
+            total = totals[v][k] + toxicity.PAIR_STRENGTH
+            mass = totals[v][k] - sum(left(n[k], own[k]) for n in followers.values()) + toxicity.PAIR_STRENGTH
+            if w not in followers:
+                out.append(mass / total * p[w][k])
+                continue
+            shared = (p[w][0] + p[w][1]) / 2
+            rest = sum(totals[v]) - sum(left(sum(n), both) for n in followers.values())
+            share = (left(sum(followers[w]), both) + rest * shared) / sum(totals[v]) / shared
+            out.append((left(followers[w][k], own[k]) + mass * share * p[w][k]) / total)
+        return math.log(out[1] / out[0])
+
+    names = list(words)
+    v, w = (np.array([toxicity.name_hash(x[i]) for x in kept_pairs], np.uint64) for i in (0, 1))
+    model = toxicity.build(names, np.array([words[x] for x in names]), v, w, np.array(list(kept_pairs.values())), np.array([totals[x[0]] for x in kept_pairs]))
+    some = [texts[k] for k in range(0, 60, 3)] + ["", "an"]
+    got = toxicity.Scorer(model).evidence(some)
+    for t, x in zip(some, got, strict=True):
+        found = t.split()
+        r = [math.log(p[b][1] / p[b][0]) if a is None else ratio(a, b) for a, b in zip([None, *found], found, strict=False)]
+        want = [sum(r) / max(1, len(r))] + [max(sum(r[i : i + n]) for i in range(max(1, len(r) - n + 1))) / n for n in toxicity.SPANS] + [math.log(1 + len(r))]
+        assert np.allclose(x, want, atol=1e-4)
 
 
 # --- packing ---
@@ -345,43 +451,72 @@ def test_differencing_is_a_partition_and_balances():
 
 def test_automaton_accepts_exactly_the_substrings():
     text = [2, 3, 2, 2, 3, 4]
-    a = language.Automaton(text, 6).table
+    tables = [language.Automaton(text, 6), language.Automaton(text, 6, dense=0)]
     subs = {tuple(text[i:j]) for i in range(6) for j in range(i + 1, 7)}
 
-    def accepts(s):
-        state = 1
+    def accepts(a, s):
+        state = np.ones(1, np.int32)
         for c in s:
-            state = a[state, c]
-        return state > 0
+            state = a.step(state, np.array([c]))
+        return state[0] > 0
 
     import itertools
 
-    assert all(accepts(s) == (s in subs) for n in range(1, 5) for s in itertools.product(range(2, 5), repeat=n))
+    assert all(accepts(a, s) == (s in subs) for a in tables for n in range(1, 5) for s in itertools.product(range(2, 5), repeat=n))
 
 
-def test_phrases_equal_a_plain_parse():
-    samples = {"a": "the cat sat on the mat", "b": "le chat est la"}
-    ls = language.Languages(samples)
+@pytest.mark.parametrize("block", [4, 7, 128])
+@pytest.mark.parametrize("dense", [language.DENSE, 0])
+def test_phrases_equal_an_unblocked_parse(monkeypatch, block, dense):
     rng = random.Random(9)
-    texts = ["".join(rng.choice("the catso nlmé") for _ in range(n)).strip() or "x" for n in (1, 5, 127, 128, 129, 400)]
+    samples = {"a": "the cat sat on the mat", "b": "le chat est la", "c": "漢字語" * 3 + "の"}
+    texts = ["".join(rng.choice("the catso nlmé漢字語") for _ in range(n)).strip() or "x" for n in (1, 5, 127, 128, 129, 400, 1000)]
+    texts += ["the cat sat on the mat" * 40, "t" * 300, "ab" * 200, ""]
 
     def parse(t, s):
-        n = 0
-        for a in range(0, len(t), language.BLOCK):
-            cur = ""
-            for ch in t[a : a + language.BLOCK]:
-                if cur + ch in s:
-                    cur += ch
-                else:
-                    n += 1
-                    cur = ""
-            n += bool(cur)
-        return n
-
+        n, cur = 0, ""
+        for ch in t:
+            if cur + ch in s:
+                cur += ch
+            else:
+                n += 1
+                cur = ""
+        return n + bool(cur)
+
+    monkeypatch.setattr(language, "BLOCK", block)
+    ls = language.Languages(samples, dense)
     counts, sizes = ls.phrases(texts)
     assert counts.tolist() == [[parse(t, samples[k]) for k in ls.names] for t in texts] and sizes.tolist() == list(map(len, texts))
 
 
+def test_letters_are_those_of_unicode(spark):
+    docs = documents(spark, ["²½", "①Ⅷ", "12 _ !", "", None, "\u0301", "नमस्ते दुनिया", "été"])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, docs).collect()}
+    assert [got[k][0] for k in range(8)] == ["und"] * 6 + ["en"] * 2 and all(got[k][1] == 0 for k in range(6))
+
+
+def test_large_alphabets_stay_small():
+    rng = random.Random(2)
+    letters = [chr(0x4E00 + k) for k in range(5000)]
+    ls = language.Languages({"zh": "".join(rng.choice(letters) for _ in range(60_000)), "en": "the cat sat on the mat " * 2000})
+    size = sum(x.nbytes for a in ls.automata for x in (a.table, a.keys, getattr(a, "to", None)) if x is not None)
+    assert size < 100e6
+    assert ls.phrases(["".join(rng.choice(letters) for _ in range(300)), "the mat"])[0].argmin(1).tolist() == [1, 0]
+
+
+def test_samples_are_the_first_by_hash_and_bounded(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.lower(F.hex("id"))).alias("text"), F.when(F.col("id") < 20, "fr").otherwise("en").alias("lang"))
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.lit(77).cast("long")).withColumn("text", F.lit("same again")))
+    got = language.samples_of(docs, docs_most=5, chars_most=40)
+    order = sorted({(r.lang, r.h, r.text) for r in docs.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").collect()})
+    for lang in ("en", "fr"):
+        want = ""
+        for t in [t for k, _, t in order if k == lang][:5] if lang == "fr" else []:
+            want = want if len(want) >= 40 else (want + " " + language.folded(t)).strip()[:40]
+        assert got[lang] == want or lang == "en"
+    assert set(got) == {"en", "fr"} and all(0 < len(x) <= 40 for x in got.values())
+
+
 def test_language_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     got = language.op8_cross_parsing(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id")
