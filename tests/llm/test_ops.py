@@ -526,7 +526,7 @@ def test_language_accuracy(spark):
 # --- search ---
 
 
-def test_search_is_exact_with_odd_vectors(spark):
+def test_search_is_exact_with_odd_vectors(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vecs = {k: (rng.normal(size=8) * rng.choice([0.1, 1, 5])).tolist() for k in range(400)} | {400: None, 401: [], 402: [float("nan")] * 8, 403: [None] * 8, 404: [1.0, 2.0]}
     vecs[300] = vecs[100]
@@ -536,10 +536,19 @@ def test_search_is_exact_with_odd_vectors(spark):
     for q in (k for k in ints if k % 100 == 0):
         order = sorted(((-int(ints[q] @ ints[k]), k) for k in ints if k != q))[:10]
         want += [(q, i + 1, k, -s) for i, (s, k) in enumerate(order)]
-    got = topk.top_k(df, df.where("vec_id % 100 = 0"), block=2)
-    assert sorted(map(tuple, got.collect())) == want
+    queries = df.where("vec_id % 100 = 0")
+    for first, block, hold in ((4096, 2, 65_536), (10, 2, 37), (3, 100, 5)):
+        monkeypatch.setattr(topk, "FIRST", first)
+        assert sorted(map(tuple, topk.top_k(df, queries.unionByName(queries), block=block, hold=hold).collect())) == want
     assert topk.top_k(df.limit(0), df).count() == 0
     assert topk.top_k(df, df.limit(0)).count() == 0
+    twice = topk.top_k(df.unionByName(df), queries).groupBy("query_id", "vec_id").count().agg(F.max("count"), F.count("*")).first()
+    assert tuple(twice) == (2, 5 * len({w[0] for w in want}))
+    equal = spark.range(50).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(-2.0)).alias("embedding"))
+    got = topk.top_k(equal, equal.where("vec_id = 3"), hold=7).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10] and {r.score for r in got} == {5 * 1024**2}
+    with pytest.raises(OverflowError):
+        topk.top_k(spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, 1.0])], "vec_id long, embedding array<double>"), equal)
 
 
 # --- decontamination ---
