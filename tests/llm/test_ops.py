@@ -3,6 +3,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,6 +119,45 @@ def test_long_secrets_are_redacted_whole(spark):
     assert {r.t for r in df.select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()} == {"the of them <secret> and more"}
 
 
+def test_overlaps_and_redaction_equal_brute_force(spark):
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        text = "".join(rng.choice("ab 1é😀") for _ in range(rng.randrange(5, 900)))
+        spans = [sorted({a: (a, 0, min(len(text), a + rng.randrange(1, 9)), rng.choice(pii.KINDS)) for a in rng.choices(range(len(text)), k=n)}.values()) for n in (rng.randrange(0, 40), rng.randrange(0, 400))]
+        rows.append((k, text, *spans))
+    df = spark.createDataFrame(rows, f"doc_id int, text string, base {pii.SPAN}, wide {pii.SPAN}")
+    got = df.select("*", pii.met(F.col("base"), F.col("wide")).alias("met"), pii.redacted(F.col("text"), F.col("wide")).alias("t")).collect()
+    for r in got:
+        want = {tuple(c): any(b.start < c.end and c.start < b.end for b in r.base) for c in r.wide}
+        assert {tuple(x.c): x.hit for x in r.met} == want and len(r.met) == len(r.wide)
+        out, at = "", 0
+        for s in r.wide:
+            if s.start >= at:
+                out += r.text[at : s.start] + f"<{s.kind}>"
+            at = max(at, s.end)
+        assert r.t == out + r.text[at:]
+
+
+def test_very_many_spans_take_seconds(spark):
+    text = " ".join(f"a{k}@x.org token=abcdefgh{k}" for k in range(50_000))
+    began = time.time()
+    df = pii.find(documents(spark, [text])).crossJoin(documents(spark, [text]).select("text"))
+    r = df.select(F.size("base").alias("n"), pii.redacted(F.col("text"), F.col("spans")).alias("t")).first()
+    assert r.n == 50_000 and r.t.count("<email>") == 50_000 and "@" not in r.t
+    assert time.time() - began < 90
+
+
+def test_trees_learn_the_format_that_evidence_labels(spark):
+    """Candidates with evidence teach the trees; thresholds let unlabelled ones of the same format through, others not."""
+    md5 = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    texts = [f"my token = {md5(k)} ok" for k in range(60)] + [f"licence {4000000000000000 + 10 * k} of it" for k in range(60)]
+    unseen = [f"then {md5(k + 1000)} came" for k in range(20)] + [f"then {4000000000000000 + 10 * k + (k + 1) % 10} came" for k in range(20)]
+    got = {r.doc_id: r for r in pii.find(documents(spark, texts + unseen)).collect()}
+    hexed = [k for k in range(120, 140) if not re.search("[0-9]{12}", unseen[k - 120])]
+    assert all([s.kind for s in got[k].spans] == ["secret"] for k in hexed)
+    assert all(s.kind != "secret" and s.kind != "number" for k in range(140, 160) for s in got[k].spans)
+
+
 # --- near duplicates ---
 
 

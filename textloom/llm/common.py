@@ -41,6 +41,29 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+STRIDE = 256
+
+
+def scanned(xs: Column, zero: Column, step, out, stride: int = STRIDE) -> Column:
+    """out(state, x) for every x of xs (a lambda's variable or a column), the state going from zero by step(state, x).
+
+    Results are gathered by blocks of `stride`, so that time grows with the array's size and not its square.
+    """
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(xs) / stride).cast("int") - 1)
+    block = lambda b: F.slice(xs, b * stride + 1, F.lit(stride))
+    nothing = F.transform(F.slice(xs, 1, 0), lambda x: out(zero, x))  # an empty array of the results' type
+    states = F.aggregate(blocks, F.array(zero), lambda acc, b: F.concat(acc, F.array(F.aggregate(block(b), F.element_at(acc, -1), step))))
+
+    def filled(states: Column) -> Column:
+        def one(b: Column) -> Column:
+            begin = F.struct(F.get(states, b).alias("state"), nothing.alias("out"))
+            return F.aggregate(block(b), begin, lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(out(acc["state"], x))).alias("out")), lambda acc: acc["out"])
+
+        return F.flatten(F.transform(blocks, one))
+
+    return F.when(F.size(xs) > 0, F.transform(F.array(states), filled)[0]).otherwise(nothing)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered; emptied when it holds `most` of them."""
 
