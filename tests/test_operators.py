@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -229,3 +230,161 @@ def test_every_passage_has_an_instruction_record(spark):
     want = {(r.doc_id, r.passage_idx) for r in records.passages_60_120(spark, folder).collect()}
     assert max(k for _, k in want) > 0
     assert {(r.doc_id, r.passage_idx) for r in records.QUERIES["instruction_records_all"](spark, folder).collect()} == want
+
+
+def test_equal_contents_stay_on_one_side(spark):
+    rows = spark.createDataFrame([(k, f"t{k % 37 if k % 3 else 0}") for k in range(600)], "doc_id long, text string")
+    for ratio in (0.01, 0.2, 0.5, 0.9):
+        got = validate.split(rows, ratio)
+        sides = got.groupBy("text").agg(F.count_distinct("is_eval").alias("n")).agg(F.max("n")).first()[0]
+        assert sides == 1 and got.count() == 600
+        assert validate.overlap(got.where("is_eval"), got.where("NOT is_eval")).count() == 0
+        assert got.where("is_eval").count() >= int(600 * ratio)
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(8):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(60)]
+        for _ in range(5):
+            w = list(base)
+            for _ in range(rng.randrange(6)):
+                w[rng.randrange(60)] = f"x{rng.randrange(99)}"
+            texts.append(" ".join([*w, "all rights reserved by the authors"]))
+    texts += texts[:3] + ["a b", "", "all rights reserved by the authors"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        if t not in texts[:k] and len(w) >= 3:
+            sets[k] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    for limit in (0.5, 0.7, 0.85):
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+        want = {p: j for p, j in want.items() if j >= limit}
+        got = {(r.a, r.b): r.jaccard for r in validate.similar_pairs(df, limit).collect()}
+        assert got == want
+    links = [(k, k + 1) for k in range(0, 40) if k % 9] + [(50, 41)]
+    label = {r.id: r.c for r in validate.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert label[50] == 41 and label[9] == 1 and label[18] == 10 and label[40] == 37
+
+
+def test_reports_and_requests(spark, tmp_path):
+    docs = spark.createDataFrame([("a.txt", "One two. Three?"), ("b.txt", "Word " * 1500)], "filename string, text string")
+    stats = analyze.document_stats(docs, "filename", least_words=1000)
+    text = analyze.report_text(stats).first().report
+    assert text.index("b.txt") < text.index("a.txt") and "Words: 1,503" in text and text.endswith("Flagged\na.txt: suspiciously_short")
+    readers.write_json(analyze.stats_record(stats), str(tmp_path / "stats"))
+    read = spark.read.json(str(tmp_path / "stats")).first()
+    assert read.aggregate.total_files == 2 and [f.filename for f in read["files"]] == ["b.txt", "a.txt"]
+    counts = validate.validation_counts(docs.select("text")).withColumn("input_file", F.lit("x.jsonl"))
+    assert validate.validation_text(counts).first().report.endswith("Removed in all: 1\nKept in all: 1")
+    bodies = ['{"prompt": "p"}', "{bad", '{"options": {"temperature": 0.5}}', '{"messages": [{"role": "user", "content": "c"}], "prompt": "p", "adapterWeights": {"a": 1.5}}', None, '{"prompt": ""}']
+    got = chat.generate_requests(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
+    assert [(r.status, r.error) for r in got] == [(200, None), (400, "invalid json"), (400, "messages or prompt required"), (200, None), (400, "invalid json"), (400, "messages or prompt required")]
+    assert got[0].messages[0].content == "p" and got[3].messages[0].content == "c" and got[3].weights == {"a": 1.5}
+    done = spark.createDataFrame([("t", None, {"a": 1.0}, (0.5, 9)), (None, "timeout", None, None)], "text string, error string, weights map<string,double>, options struct<temperature:double,max_tokens:int>")
+    bodies = [(r.status, json.loads(r.body)) for r in chat.responses(done).collect()]
+    assert bodies[0][0] == 200 and bodies[0][1]["meta"]["options"] == {"temperature": 0.5, "max_tokens": 9} and bodies[1] == (502, {"error": "timeout"})
+
+
+def test_small_functions(spark):
+    assert one(spark, X.collapsed(F.col("t")), "a\n\n\n\nb\n\nc") == ["a\n\nb\n\nc"] and one(spark, X.slug(F.col("t")), "A – b: c!") == ["A  b c"]
+    assert one(spark, records.closed_text(F.col("t")), "x") == ["x</s>"]
+    row = spark.createDataFrame([(None, [("user", "u"), ("assistant", "s")]), ("t", None), (None, None)], "text string, m array<struct<role:string,content:string>>")
+    assert [r[0] for r in row.select(X.record_text(F.col("text"), F.col("m"))).collect()] == ["s", "t", ""]
+    asked = spark.createDataFrame([("p", None), (None, None), ("p", [("user", "m")])], "prompt string, m array<struct<role:string,content:string>>")
+    got = [r[0] for r in asked.select(chat.requested_messages(F.col("m"), F.col("prompt"))).collect()]
+    assert [x and x[0].content for x in got] == ["p", None, "m"]
+    assert one(spark, markup.epub_name(F.col("t")), "x")[0] is not None
+    sets = spark.createDataFrame([("p", [("a", 1), ("b", 2)])], "prompt string, completions array<struct<text:string,index:int>>")
+    assert [tuple(r) for r in preference.exploded(sets, ["prompt"]).collect()] == [("p", 0, "a", 1), ("p", 1, "b", 2)]
+    authors = spark.createDataFrame([("a", "A", {"t": "u"}), ("b", "B", {"v": "w", "x": "y"})], "author string, label string, works map<string,string>")
+    assert readers.works_of(authors).count() == 3 and [r.title for r in readers.works_of(authors, "a").collect()] == ["t"]
+    page = {"u": b"caf\xe9 one"}
+    works = readers.works_of(authors, "a")
+    assert [readers.fetched(works, "url", page.get, otherwise=o).first().text for o in ("latin-1", "replace")] == ["café one", "caf\ufffd one"]
+    adapters = mixing.adapter_rows(spark.createDataFrame([("a:A,b", "en"), ("c", "ru")], "raw string, lang string"))
+    assert {r.lang for r in mixing.languages(adapters).collect()} == {"en", "ru"}
+    prompts = spark.createDataFrame([("p", "t"), ("q", "t")], "prompt string, type string")
+
+    def half(request):
+        if request["prompt"] == "q":
+            raise ValueError("no model")
+        return " done "
+
+    told = external.evaluated(prompts, half)
+    assert {r.prompt: r.text for r in told.collect()} == {"p": "done", "q": "[ERROR: no model]"}
+    html = preference.evaluation_page(told.withColumn("id", F.when(F.col("prompt") == "p", 1).otherwise(2))).first().html
+    assert html.index("done") < html.index("no model") and html.startswith("<!doctype html>")
+
+
+def test_chunks_by_a_real_tokenizer(spark):
+    import public_tokenizers
+
+    count = records.TokenizerCount(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.createDataFrame([(1, "\n\n".join(f"Sentence number {k} is here." for k in range(40))), (2, None)], "doc_id long, text string")
+    got = records.token_chunks(docs, 64, 16, count).orderBy("chunk_idx").collect()
+    assert len(got) > 3 and all(r.n_tokens == count(r.text) <= 64 for r in got)
+
+
+# --- streams ---
+
+
+def stream(spark, folder, rows, schema):
+    """A stream of one file a batch, in order."""
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(str(folder / "in"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder / "in"))
+
+
+def ran(spark, df, folder, mode, rows):
+    """(batch, *row) until so many rows have come: with timeouts a query never comes to its end."""
+    out = []
+
+    def keep(batch, number):
+        out.extend((number, *r) for r in batch.collect())
+
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", str(folder / "state")).foreachBatch(keep).start()
+    end = time.time() + 60
+    while len(out) < rows and time.time() < end and query.isActive:
+        time.sleep(0.2)
+    query.stop()
+    return out
+
+
+def test_queue_states(spark, tmp_path):
+    events = stream(spark, tmp_path, [[("q", 1, "put", "a"), ("q", 2, "put", "b"), ("q", 3, "put", "c"), ("q", 4, "put", "d")], [("q", 5, "cancel", "c")], [("q", 6, "done", "a"), ("r", 1, "put", "z")]], "queue string, seq long, type string, entry string")
+    got = ran(spark, sessions.queue_states(events, 2), tmp_path, "update", 10)
+    last = max(n for n, *_ in got)
+    assert {r[1:] for r in got if r[0] == last} == {("q", "b", 0), ("q", "d", 0), ("r", "z", 0)}
+    assert {r[1:] for r in got if r[0] == 0} == {("q", "a", 0), ("q", "b", 0), ("q", "c", 1), ("q", "d", 2)}
+
+
+def test_lifecycles(spark, tmp_path):
+    rows = [[("u", 1, "chat", "r1", None), ("u", 2, "token", "r1", "a")], [("u", 3, "token", "r1", "b"), ("u", 4, "chat", "r2", None), ("u", 5, "token", "r1", "late")], [("u", 6, "token", "r2", "c"), ("u", 7, "done", "r2", None), ("u", 8, "abort", None, None), ("v", 1, "chat", "r3", None), ("v", 2, "close", None, None)]]
+    got = ran(spark, sessions.lifecycles(stream(spark, tmp_path, rows, "user_id string, seq long, type string, request string, text string")), tmp_path, "append", 9)
+    assert [r[2:] for r in got if r[1] == "u"] == [("r1", "status", "running"), ("r1", "token", "a"), ("r1", "token", "b"), ("r1", "done", ""), ("r2", "status", "running"), ("r2", "token", "c"), ("r2", "done", "c")]
+    assert [r[2:] for r in got if r[1] == "v"] == [("r3", "status", "running"), ("r3", "done", "")]
+    assert sessions.live(["r", "x"], {"type": "error", "request": "r", "text": "bad"}) == (None, [("r", "error", "bad")])
+
+
+def test_stream_lines_and_client_messages(spark):
+    lines = spark.createDataFrame([("r", 'data: {"choices":[{"delta":{"content":"hi"}}]}'), ("r", ": ping"), ("r", "data: {broken"), ("r", "data: [DONE]")], "request string, line string")
+    assert [tuple(r) for r in sessions.token_events(lines).collect()] == [("r", "token", "hi"), ("r", "done", None)]
+    raw = spark.createDataFrame([('{"type":"hello","userId":"u"}',), ("{no",), ('{"type":"clear"}',), ('{"type":"other"}',), ('{"type":"hello"}',)], "value string")
+    messages = sessions.client_messages(raw)
+    assert [r.type for r in messages.collect()] == ["hello", "error", "clear", "hello"]
+    got = [tuple(r) for r in sessions.answers(messages).collect()]
+    assert [r[0] for r in got] == ["session", "error", "cleared", "session"] and got[0][1] == "u" and len(got[3][1]) == 36 and got[1][2] == "invalid json"
+
+
+def test_session_stream_over_many_batches(spark, tmp_path):
+    from textloom.streaming import queries as streams
+
+    for k in range(9):
+        part = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where(F.col("turn") == k)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "conversations.parquet"))
+    one_batch = streams.session_state_stream(spark, "/root/testdata/sf0.001").collect()
+    many = streams.session_state_stream(spark, str(tmp_path), files_per_trigger=1).collect()
+    assert sorted(map(str, many)) == sorted(map(str, one_batch)) and len(many) == len({r.conv_id for r in many})

@@ -114,6 +114,11 @@ def unwrapped(text: Column) -> Column:
     return trimmed(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
 
 
+def collapsed(text: Column, most: int = 2) -> Column:
+    """Runs of more than `most` line ends become `most` of them."""
+    return F.regexp_replace(text, rf"\n{{{most + 1},}}", "\n" * most)
+
+
 def dehyphenated(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")
 

@@ -58,14 +58,26 @@ def _mean(total: Column, n: Column) -> Column:
 
 def corpus_totals(stats: DataFrame) -> DataFrame:
     """Totals and unweighted means over the documents of document_stats."""
-    return stats.agg(
+    return stats.agg(*_totals())
+
+
+def _totals() -> list[Column]:
+    return [
         F.count("*").alias("total_files"),
         F.sum("word_count").alias("total_words"),
         F.sum("char_count").alias("total_chars"),
         F.avg("lexical_diversity").alias("avg_lexical_diversity"),
         F.avg("dialogue_ratio").alias("avg_dialogue_ratio"),
         (F.sum("word_count") * 2).alias("estimated_tokens"),
-    )
+    ]
+
+
+def stats_record(stats: DataFrame) -> DataFrame:
+    """One nested row, for a JSON file: aggregate and files (document_stats by most words)."""
+    keys = F.struct((-F.col("word_count")).alias("n"), F.monotonically_increasing_id().alias("i"))
+    rows = stats.select("*", keys.alias("_k"))
+    files = F.array_sort(F.collect_list(F.struct("_k", F.struct(*stats.columns).alias("s"))), lambda x, y: F.when(x["_k"] < y["_k"], -1).when(x["_k"] > y["_k"], 1).otherwise(0))
+    return rows.agg(F.struct(*_totals()).alias("aggregate"), F.transform(files, lambda x: x["s"]).alias("files"))
 
 
 def top_words(docs: DataFrame, by: list[str], k: int = 50, stopwords: list[str] = X.STOPWORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,11 +87,34 @@ def top_words(docs: DataFrame, by: list[str], k: int = 50, stopwords: list[str]
     each task's reach it."""
     rows = docs.select(*by, F.col(id_col).alias("_id"), F.posexplode(X.plain_words(F.col(text_col))).alias("_pos", "word"))
     rows = rows.where((F.length("word") > 1) & ~F.col("word").isin(stopwords))
-    counts = rows.groupBy(*by, "word").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_pos")).alias("_first"))
+    # one fixed-width number for whole ids, which hash aggregation takes
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    first = F.col("_id").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("_pos").cast("decimal(10,0)") if whole else F.struct("_id", "_pos")
+    counts = rows.groupBy(*by, "word").agg(F.count("*").alias("n"), F.min(first).alias("_first"))
     order = Window.partitionBy(*by).orderBy(F.desc("n"), "_first")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_first")
 
 
+def report_text(stats: DataFrame, name: str = "filename") -> DataFrame:
+    """report: totals, a paragraph a document of document_stats with most words first, and the flagged ones once more."""
+    number = lambda c: F.format_number(c, 0)
+    head = F.array_join(
+        F.array(
+            F.concat(F.lit("Files: "), number("total_files")), F.concat(F.lit("Words: "), number("total_words")), F.concat(F.lit("Characters: "), number("total_chars")),
+            F.concat(F.lit("Estimated tokens: "), number("estimated_tokens")), F.format_string("Mean lexical diversity: %.4f", "avg_lexical_diversity"), F.format_string("Mean dialogue share: %.1f%%", "avg_dialogue_ratio"),
+        ), "\n",
+    )
+    flagged = F.when(F.size("flags") > 0, F.concat(F.lit("\n  Flags: "), F.array_join("flags", ", "))).otherwise("")
+    part = F.concat(
+        F.col(name), F.lit("\n  Words: "), number("word_count"), F.lit(", characters: "), number("char_count"), F.format_string("\n  Sentence: %.1f words, paragraph: %.1f sentences", "avg_sentence_length", "avg_paragraph_length_sentences"),
+        F.format_string("\n  Lexical diversity: %.4f, dialogue: %.1f%%", "lexical_diversity", "dialogue_ratio"), flagged,
+    )
+    line = F.when(F.size("flags") > 0, F.concat(F.col(name), F.lit(": "), F.array_join("flags", ", ")))
+    parts = F.array_sort(F.collect_list(F.struct((-F.col("word_count")).alias("n"), F.col(name).alias("f"), part.alias("t"), line.alias("l"))))  # a paragraph a file
+    files, marked = (F.array_join(F.transform("p", lambda x: x["t"]), "\n\n"), F.array_join(F.transform("p", lambda x: x["l"]), "\n"))
+    return stats.agg(*_totals(), parts.alias("p")).select(F.concat(head, F.lit("\n\n"), files, F.when(F.length(marked) > 0, F.concat(F.lit("\n\nFlagged\n"), marked)).otherwise("")).alias("report"))
+
+
 def length_histogram(lengths: DataFrame, length_col: str, width: int) -> DataFrame:
     """bucket_lo, label, n of the buckets that hold anything."""
     lo = (F.floor(F.col(length_col) / width) * width).cast("long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..sources.tables import table
 from . import records
 
@@ -43,6 +44,27 @@ def requested_messages(messages: Column, prompt: Column) -> Column:
     return F.coalesce(messages, F.when(prompt.isNotNull(), F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))))
 
 
+def generate_requests(raw: DataFrame, column: str = "body") -> DataFrame:
+    """raw with status (200 or 400), error, messages, weights and options of JSON request bodies; a prompt alone becomes one message."""
+    schema = "adapterWeights map<string,double>, messages array<struct<role:string,content:string>>, prompt string, options struct<temperature:double,max_tokens:int,top_p:double,repeat_penalty:double,frequency_penalty:double>"
+    parsed = F.from_json(F.col(column), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    got = raw.withColumn("_r", parsed)
+    messages = requested_messages(F.col("_r.messages"), F.nullif(F.col("_r.prompt"), F.lit("")))
+    unread = F.col(column).isNull() | F.col("_r._bad").isNotNull() | F.col("_r").isNull() | (X.trimmed(F.coalesce(F.col(column), F.lit(""))) == "")
+    error = F.when(unread, "invalid json").when(messages.isNull(), "messages or prompt required")
+    fine = lambda c: F.when(F.col("error").isNull(), c)
+    got = got.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), 200).otherwise(400))
+    return got.withColumn("messages", fine(messages)).withColumn("weights", fine(F.coalesce("_r.adapterWeights", F.create_map().cast("map<string,double>")))).withColumn("options", fine(F.col("_r.options"))).drop("_r")
+
+
+def responses(done: DataFrame, text: str = "text", error: str = "error", weights: str = "weights", options: str = "options") -> DataFrame:
+    """done with status (200, or 502 for an error) and body, the JSON that answers a request."""
+    meta = F.struct(F.col(weights).alias("adapters"), F.struct(F.col(f"{options}.temperature").alias("temperature"), F.col(f"{options}.max_tokens").alias("max_tokens")).alias("options"), F.current_timestamp().alias("timestamp"))
+    failed = F.col(error).isNotNull()
+    body = F.when(failed, F.to_json(F.struct(F.col(error).alias("error")))).otherwise(F.to_json(F.struct(F.col(text).alias("text"), meta.alias("meta"))))
+    return done.withColumn("status", F.when(failed, 502).otherwise(200)).withColumn("body", body)
+
+
 def stream_tokens(lines: DataFrame, key: str, seq: str, line: str) -> DataFrame:
     """key, full_text, n_tokens of event-stream lines: other lines, the end mark and malformed JSON are passed over."""
     body = F.when(F.col(line).startswith("data: "), F.substring(F.col(line), 7, 2**31 - 1))
@@ -66,7 +88,7 @@ def history_trim(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_window(spark: SparkSession, d: str) -> DataFrame:
-    got = context_windows(_chat(spark, d), "conv_id", "turn", "role", "text", 4, 3, 40)
+    got = context_windows(_chat(spark, d), "conv_id", "turn", "role", "text", 4, 3)
     return got.select("conv_id", "n_messages", "to_summarise", F.size("recent").cast("long").alias("n_recent"), F.sha2(F.array_join(F.transform("recent", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|"), 256).alias("recent_hash"))
 
 
@@ -104,7 +126,7 @@ y AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pin ORDER BY turn DESC)
 SELECT conv_id, turn, role FROM y WHERE pin OR k <= 3""",
     "context_window": """
 WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role <> 'system')
-SELECT conv_id, max(n) AS n_messages, string_agg(role || ': ' || left(text, 40), chr(10) || chr(10) ORDER BY turn) FILTER (n > 4 AND k <= n - 3) AS to_summarise,
+SELECT conv_id, max(n) AS n_messages, string_agg(role || ': ' || left(text, 500), chr(10) || chr(10) ORDER BY turn) FILTER (n > 4 AND k <= n - 3) AS to_summarise,
        count(*) FILTER (n <= 4 OR k > n - 3) AS n_recent, sha256(string_agg(role || ':' || text, '|' ORDER BY turn) FILTER (n <= 4 OR k > n - 3)) AS recent_hash FROM x GROUP BY conv_id""",
     "chat_records": """
 WITH x AS (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)

@@ -17,6 +17,11 @@ def adapter_rows(lists: DataFrame, raw: str = "raw", lang: str = "lang") -> Data
     return entries.select(name.alias("id"), F.coalesce(F.nullif(label, F.lit("")), name).alias("label"), "index", F.col(lang).alias("lang"))
 
 
+def languages(adapters: DataFrame) -> DataFrame:
+    """The languages that any adapter has."""
+    return adapters.select("lang").where(F.col("lang").isNotNull()).distinct()
+
+
 def active(weights: Column) -> Column:
     return F.map_filter(weights, lambda _, v: v > 0)
 

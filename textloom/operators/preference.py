@@ -48,6 +48,15 @@ def review_card(number: Column, prompt: Column, body: Column, shown: int = 600)
     return F.format_string('<section class="card"><h2>%d</h2><p class="prompt">%s</p><div class="text">%s</div></section>', number, X.html_escaped(prompt), X.html_escaped(F.left(body, F.lit(shown))))
 
 
+def evaluation_page(results: DataFrame, title: str = "Evaluation") -> DataFrame:
+    """html: one page of cards of generated texts (id, prompt, text) in order of id, for a reviewer's scores; a prompt set's size bounds it."""
+    card = review_card(F.col("id"), F.col("prompt"), F.col("text"), shown=2**31 - 1)
+    score = F.lit('<form><label>adherence <input name="adherence" type="number" min="1" max="10"></label><label>style <input name="style" type="number" min="1" max="10"></label><input name="note"></form>')
+    cards = F.array_sort(F.collect_list(F.struct("id", F.concat(card, score).alias("c"))))
+    body = F.array_join(F.transform(cards, lambda x: x["c"]), "\n")
+    return results.agg(F.concat(F.lit(f'<!doctype html><html><head><meta charset="utf-8"><title>{title}</title></head><body>\n'), body, F.lit("\n</body></html>\n")).alias("html"))
+
+
 def _scored(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
     docs, labels = table(spark, d, "documents").select("doc_id", "text", *keys), table(spark, d, "labels")
     return docs.join(labels, "doc_id").select(*keys, "doc_id", "text", F.when(F.col("quality") == 1, 8).otherwise(3).alias("adherence"), (9 - 6 * F.col("toxic")).alias("style"))

@@ -68,10 +68,31 @@ def training_string(msgs: Column, opens: str = "<|im_start|>", closes: str = "<|
     return F.array_join(F.transform(msgs, lambda m: F.concat(F.lit(opens), m["role"], F.lit("\n"), m["content"], F.lit(closes), F.lit("\n"))), "")
 
 
+def closed_text(text: Column, end: str = "</s>") -> Column:
+    """The training string of a continuation: the text and the end mark."""
+    return F.concat(text, F.lit(end))
+
+
 def estimated_tokens(text: str) -> int:
     return 2 * len(text.split())
 
 
+class TokenizerCount:
+    """A text's tokens by a tokenizer file, for token_chunks; each worker process opens the file once."""
+
+    _open: dict = {}
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, text: str) -> int:
+        if self.path not in self._open:
+            from tokenizers import Tokenizer
+
+            self._open[self.path] = Tokenizer.from_file(self.path)
+        return len(self._open[self.path].encode(text, add_special_tokens=False).ids)
+
+
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 

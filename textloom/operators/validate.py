@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import sql as Q
+from ..sources.shared import cut
 from ..sources.tables import table
 
 REASONS = ("empty", "too_short", "too_long", "encoding")
@@ -25,6 +26,18 @@ def validation_counts(records: DataFrame, text_col: str = "text", least: int = 5
     return r.agg(F.count("*").alias("parsed_input"), *(F.count_if(F.col("r") == k).alias(k) for k in REASONS), F.count_if(F.col("r").isNull()).alias("valid"))
 
 
+def validation_text(counts: DataFrame, name: str = "input_file") -> DataFrame:
+    """report: one text of validation counts (name, parsed_input, REASONS, optionally parse_errors and duplicates_removed, valid), a paragraph a file, with totals."""
+    extra = [c for c in ("parse_errors", "duplicates_removed") if c in counts.columns]
+    removed = [*REASONS, *extra]
+    number = lambda c: F.format_number(F.col(c), 0)
+    lines = [F.concat(F.lit("File: "), F.col(name)), F.concat(F.lit("  records read: "), number("parsed_input"))]
+    lines += [F.concat(F.lit(f"  {c.replace('_', ' ')}: "), number(c)) for c in removed] + [F.concat(F.lit("  records kept: "), number("valid"))]
+    each = counts.select(F.col(name).alias("f"), F.array_join(F.array(*lines), "\n").alias("t"), sum((F.col(c) for c in removed), F.lit(0)).alias("r"), F.col("valid").alias("v"))
+    total = F.concat(F.lit("\n\nRemoved in all: "), F.format_number(F.sum("r"), 0), F.lit("\nKept in all: "), F.format_number(F.sum("v"), 0))
+    return each.agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]), "\n\n"), total).alias("report"))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, content_hash, keeper (the least id of equal content). Hashes alone are grouped; AQE splits a hot hash in the join."""
     hashed = docs.select(id_col, X.content_hash(F.col(text_col)).alias("content_hash"))
@@ -43,22 +56,34 @@ def word_shingles(text: Column, size: int = 3) -> Column:
 def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """a < b, jaccard: pairs of different texts at or above threshold, exactly, by a prefix join.
 
-    Equal texts count once, by their least id. Under one order of all shingles, two sets of
-    similarity t share a shingle among the first n - ceil(t n) + 1 of each; only these are
-    joined, and pairs of sizes too different fall out before the sets are compared.
+    Equal texts count once, by their least id. Shingles stand in order of how many texts have
+    them: two sets of similarity t share one among the first n - ceil(t n) + 1 of each. Those
+    that no other text has come first and match nothing, so only what is left of these first
+    ones is joined, the rare before the common; pairs of sizes too different fall out before
+    the sets are compared.
     """
-    reps = docs.groupBy(X.content_hash(F.col(text_col)).alias("_h")).agg(F.min(F.struct(F.col(id_col), F.col(text_col))).alias("x")).select(F.col(f"x.{id_col}").alias("id"), F.col(f"x.{text_col}").alias("t"))
-    sets = reps.select("id", F.array_sort(F.transform(word_shingles(F.col("t"), size), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0).persist()
-    n = F.size("s")
-    prefix = sets.select("id", n.alias("n"), F.explode(F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("k"))
+    rows = _representatives(docs, id_col, text_col).select("id", F.transform(word_shingles(F.col("t"), size), lambda s: F.xxhash64(s)).alias("s"))
+    sets = cut(rows.where(F.size("s") > 0))
+    shingles = sets.select("id", F.explode("s").alias("k"))
+    known = shingles.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = shingles.join(known, "k").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("r"))
+    n, first = F.col("n"), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
+    met = ranked.join(sets.select("id", F.size("s").alias("n")), "id").select("id", "n", F.col("r.k").alias("k"), (first - (n - F.size("r"))).cast("int").alias("left"))
+    prefix = cut(met.where("left > 0").select("id", "n", F.explode(F.slice("k", F.lit(1), F.col("left"))).alias("k")))
     a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "k") for x in "ab")
-    pairs = a.join(b, "k").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
+    pairs = cut(a.join(b, "k").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct())
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     i = F.size(F.array_intersect("x", "y"))
     j = i / (F.size("x") + F.size("y") - i)
     return both.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def _representatives(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, t of the documents (ids unique) that are the least of their content; only ids and hashes are grouped."""
+    copies = exact_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("keeper")).select(id_col)
+    return docs.join(copies, id_col, "left_anti").select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+
+
 def minhash(shingles: Column, perms: int = PERMS) -> Column:
     """perms least values of (a h + b) mod PRIME over 28-bit hashes; no more than one overflow-free BIGINT product each."""
     h = F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long"))
@@ -67,26 +92,31 @@ def minhash(shingles: Column, perms: int = PERMS) -> Column:
 
 def lsh_pairs(docs: DataFrame, bands: int = 8, rows: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a < b: representatives of different texts that share a band of their signatures; not confirmed."""
-    reps = docs.groupBy(X.content_hash(F.col(text_col)).alias("_h")).agg(F.min(F.struct(F.col(id_col), F.col(text_col))).alias("x"))
-    signed = reps.select(F.col(f"x.{id_col}").alias("id"), word_shingles(F.col(f"x.{text_col}")).alias("s")).where(F.size("s") > 0).select("id", minhash(F.col("s"), bands * rows).alias("m"))
+    signed = _representatives(docs, id_col, text_col).select("id", word_shingles(F.col("t")).alias("s")).where(F.size("s") > 0).select("id", minhash(F.col("s"), bands * rows).alias("m"))
     keys = signed.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat_ws(":", b, F.array_join(F.slice("m", b * rows + 1, F.lit(rows)).cast("array<string>"), ",")))).alias("k"))
     keys = keys.select("id", F.md5("k").alias("k"))
     a, b = keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b")
     return a.join(b, "k").where("a < b").select("a", "b").distinct()
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """id, c: the least id of each id's connected component; least labels with pointer jumping, each round checkpointed."""
+    ends = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = cut(ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")))
+    while True:
+        near = ends.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
+        step = cut(label.join(near, "id").select("id", F.least("c", "m").alias("at"), F.col("c").alias("was")))
+        new = cut(step.join(step.select(F.col("id").alias("at"), F.col("at").alias("c")), "at").select("id", "c", "was"))
+        if new.where("c <> was").isEmpty():
+            return new.select("id", "c")
+        label = new.select("id", "c")
+
+
 def survivors(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
     """id, dropped: a greedy scan in ascending id inside each connected component. The longer text of a pair
     stays, of equal lengths the earlier; a text once dropped drops nothing further."""
-    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c"))
-    while True:
-        near = ends.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        new = label.join(near, label["id"] == near["a"]).select("id", F.least("c", "m").alias("c"), F.col("c").alias("was")).checkpoint()
-        moved = not new.where("c <> was").isEmpty()
-        label = new.select("id", "c")
-        if not moved:
-            break
+    pairs = cut(pairs.select("a", "b"))
+    label = components(pairs)
     inside = pairs.join(label.select(F.col("id").alias("a"), "c"), "a")
     sized = inside.join(lengths.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(lengths.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
 
@@ -114,8 +144,8 @@ def survivors(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def hash_sample(rows: DataFrame, key: Column, n_of) -> DataFrame:
-    """rows with `taken`: exactly n_of(count) of them, least by key. Keys are counted by their first letters, so
-    only the boundary's bucket is ranked, in one small window."""
+    """rows with `taken`: those of the least keys, n_of(count) of them; rows of one key go together, so the last
+    key may add some. Keys are counted by their first letters, so only the boundary's bucket of keys is ranked."""
     keyed = rows.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, 3))
     counts = {r["_b"]: r["count"] for r in keyed.groupBy("_b").count().collect()}  # at most 4096 rows
     left, edge = n_of(sum(counts.values())), None
@@ -126,14 +156,14 @@ def hash_sample(rows: DataFrame, key: Column, n_of) -> DataFrame:
         left -= counts[b]
     if edge is None:
         return keyed.withColumn("taken", F.lit(True)).drop("_k", "_b")
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_k"))
-    at = keyed.where(F.col("_b") == edge).withColumn("taken", rank <= left)
-    return keyed.where(F.col("_b") != edge).withColumn("taken", F.col("_b") < edge).unionByName(at).drop("_k", "_b")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = keyed.where(F.col("_b") == edge).groupBy("_k").count().select("_k", before.alias("before")).where(F.col("before") < left).agg(F.max("_k").alias("k")).first()["k"]
+    return keyed.withColumn("taken", F.col("_k") <= (last if last is not None else edge)).drop("_k", "_b")
 
 
-def split(docs: DataFrame, ratio: float = 0.05, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """docs with is_eval: max(1, floor(n ratio)) rows, chosen by a seeded hash of the id."""
-    key = F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_col)), 256)
+def split(docs: DataFrame, ratio: float = 0.05, seed: int = 42, text_col: str = "text") -> DataFrame:
+    """docs with is_eval: max(1, floor(n ratio)) rows, chosen by a seeded hash of the content, so that equal contents stay on one side."""
+    key = F.sha2(F.concat_ws(":", F.lit(seed), X.content_hash(F.col(text_col))), 256)
     return hash_sample(docs, key, lambda n: max(1, int(n * ratio)) if n else 0).withColumnRenamed("taken", "is_eval")
 
 
@@ -172,19 +202,20 @@ def near_dedup_lsh(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_survivors(spark: SparkSession, d: str) -> DataFrame:
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/textloom-checkpoints"))
     docs = _docs(spark, d)
     return survivors(similar_pairs(docs, 0.7), docs.select(F.col("doc_id").alias("id"), F.length("text").alias("n")))
 
 
 def train_eval_split(spark: SparkSession, d: str) -> DataFrame:
-    return split(_docs(spark, d).select("doc_id")).select("doc_id", "is_eval")
+    return split(_docs(spark, d)).select("doc_id", "is_eval")
 
 
 def split_overlap_check(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each side of a split has, and how many contents are on both: none, if the split is right."""
     parts = split(_docs(spark, d), 0.3)
-    return overlap(parts.where("NOT is_eval"), parts.where("is_eval"))
+    sides = parts.agg(F.count_if(~F.col("is_eval")).alias("n_train"), F.count_if("is_eval").alias("n_eval"))
+    both = overlap(parts.where("NOT is_eval"), parts.where("is_eval")).agg(F.count("*").alias("n")).first()["n"]
+    return sides.withColumn("n_overlap", F.lit(both).cast("long"))
 
 
 _W = Q.words("text")
@@ -197,7 +228,7 @@ s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
 j AS (SELECT a, b, CAST(c AS DOUBLE) / (na.n + nb.n - c) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b)"""
-_SPLIT = "SELECT *, row_number() OVER (ORDER BY sha256('42:' || doc_id)) <= (SELECT greatest(1, CAST(floor(count(*) * {r}) AS BIGINT)) FROM documents) AS is_eval FROM documents"
+_SPLIT = "SELECT *, rank() OVER (ORDER BY sha256('42:' || sha256(text))) <= (SELECT greatest(1, CAST(floor(count(*) * {r}) AS BIGINT)) FROM documents) AS is_eval FROM documents"
 QUERIES = {
     f.__name__: f
     for f in (validation_report, validation_reasons, exact_dedup, near_dup_pairs_exact, near_dup_pairs_70, near_dedup_lsh, dedup_survivors, train_eval_split, split_overlap_check)
@@ -219,5 +250,6 @@ b AS (SELECT id, (k - 1) // 16 AS band, string_agg(v, ',' ORDER BY k) AS key FRO
 SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.band = y.band AND x.key = y.key AND x.id < y.id""",
     "train_eval_split": f"SELECT doc_id, is_eval FROM ({_SPLIT.format(r='0.05::DOUBLE')})",
     "split_overlap_check": f"""WITH x AS ({_SPLIT.format(r="0.3::DOUBLE")})
-SELECT DISTINCT sha256(text) AS content_hash FROM x WHERE is_eval AND text IN (SELECT text FROM x WHERE NOT is_eval)""",
+SELECT count(*) FILTER (NOT is_eval) AS n_train, count(*) FILTER (is_eval) AS n_eval,
+       (SELECT count(DISTINCT text) FROM x WHERE is_eval AND text IN (SELECT text FROM x WHERE NOT is_eval)) AS n_overlap FROM x""",
 }

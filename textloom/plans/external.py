@@ -86,6 +86,19 @@ def scored(completed: DataFrame, model: Callable[[dict], object] = stub_score, s
     return got.select("prompt", "type", "constraint", "index", F.col("full").alias("text"), parsed_score(F.coalesce("reply", F.lit(""))).alias("s")).select("prompt", "type", "constraint", "index", "text", "s.*")
 
 
+def evaluated(prompts: DataFrame, model: Callable[[dict], object] = stub_completion, options: dict | None = None, together: int = 4) -> DataFrame:
+    """prompts (prompt, type) with `text`, generated at fixed options; a call that fails gives its error in brackets."""
+    asked = prompts.select("prompt", "type", *(F.lit(v).alias(k) for k, v in (options or {"temperature": 0.8, "top_p": 0.9, "repeat_penalty": 1.1, "max_tokens": 1024}).items()))
+
+    def told(request: dict) -> object:
+        try:
+            return model(request)
+        except Exception as e:  # the reason is the row's text
+            return f"[ERROR: {e}]"
+
+    return called(asked, told, "text", tries=1, together=together).select("prompt", "type", F.trim("text").alias("text"))
+
+
 def healthy(probes: dict[str, Callable[[], bool]]) -> bool:
     """Whether every configured backend answers."""
     def up(probe: Callable[[], bool]) -> bool:

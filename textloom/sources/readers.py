@@ -46,8 +46,15 @@ def curated(files: DataFrame, name: str, n_words: Column, skip: list[str], keep:
     return out
 
 
-def fetched(works: DataFrame, url: str, fetch: Callable[[str], bytes | None], mirrors: list[str] = ("{}",), least_words: int = 0) -> DataFrame:
-    """works with `text`: the first mirror that answers, UTF-8 or else Latin-1; null if none does. fetch is the caller's, so offline doubles fit."""
+def works_of(authors: DataFrame, author: str | None = None) -> DataFrame:
+    """author, label, title, url: a row a work of a catalogue (author, label, works map<title,url>), of one author if one is named."""
+    some = authors if author is None else authors.where(F.col("author") == author)
+    return some.select("author", "label", F.explode("works").alias("title", "url"))
+
+
+def fetched(works: DataFrame, url: str, fetch: Callable[[str], bytes | None], mirrors: list[str] = ("{}",), least_words: int = 0, otherwise: str = "latin-1") -> DataFrame:
+    """works with `text`: the first mirror that answers, UTF-8 or else Latin-1 (otherwise="replace": with marks for
+    what is no UTF-8); null if none does. fetch is the caller's, so offline doubles fit."""
     schema = T.StructType([*works.schema.fields, T.StructField("text", T.StringType())])
 
     def get(u: str) -> str | None:
@@ -57,7 +64,7 @@ def fetched(works: DataFrame, url: str, fetch: Callable[[str], bytes | None], mi
                 try:
                     return raw.decode("utf-8")
                 except UnicodeDecodeError:
-                    return raw.decode("latin-1")
+                    return raw.decode("utf-8", "replace") if otherwise == "replace" else raw.decode("latin-1")
         return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,6 +92,11 @@ def write_texts(named: DataFrame, folder: str) -> None:
     named.select("filename", "text").write.mode("overwrite").partitionBy("filename").text(folder)
 
 
+def write_json(row: DataFrame, folder: str) -> None:
+    """A one-row DataFrame (nested statistics) as one JSON object."""
+    row.coalesce(1).write.mode("overwrite").json(folder)
+
+
 def write_jsonl(records: DataFrame, folder: str) -> None:
     """JSON Lines, characters unescaped. A new folder: what was read isn't overwritten."""
     records.write.mode("errorifexists").json(folder)
