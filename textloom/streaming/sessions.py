@@ -108,6 +108,64 @@ def queue_states(events: DataFrame, slots: int = 2) -> DataFrame:
     return events.groupBy("queue").applyInPandasWithState(step, "queue string, entry string, position int", "state string", "update", GroupStateTimeout.NoTimeout)
 
 
+LIFE = "user_id string, request string, type string, text string"
+TIMEOUT_MS = 300_000
+
+
+def live(running: list | None, event: dict) -> tuple[list | None, list[tuple]]:
+    """What runs after an event, [request, tokens so far], and the rows (request, type, text) that are sent.
+
+    A chat ends what runs before it starts; abort and close end it; tokens and ends of any
+    other request are late and pass unheard. What is cut short is done with an empty text.
+    """
+    kind, request, text = event["type"], event.get("request"), event.get("text") or ""
+    ended = [(running[0], "done", "")] if running else []
+    if kind == "chat":
+        return [request, ""], [*ended, (request, "status", "running")]
+    if kind in ("abort", "close"):
+        return None, ended
+    if not running or request != running[0]:
+        return running, []
+    if kind == "token":
+        return [request, running[1] + text], [(request, "token", text)]
+    if kind in ("done", "error"):
+        return None, [(request, kind, running[1] if kind == "done" else text)]
+    return running, []
+
+
+def lifecycles(events: DataFrame, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+    """A stream of what users are told: user_id, request, type (status, token, done, error), text.
+
+    Events: user_id, seq, type (chat, token, done, error, abort, close), request, text. A request of
+    which nothing is heard for timeout_ms ends with the error "timeout".
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        running = json.loads(state.get[0]) if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            rows = [(running[0], "error", "timeout")] if running else []
+        else:
+            rows = []
+            for event in sorted((r for pdf in batches for r in pdf.to_dict("records")), key=lambda r: r["seq"]):
+                running, told = live(running, event)
+                rows += told
+            state.update((json.dumps(running),))
+            if running:
+                state.setTimeoutDuration(timeout_ms)
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split()[0] for c in LIFE.split(", ")])
+
+    return events.groupBy("user_id").applyInPandasWithState(step, LIFE, "running string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def answers(messages: DataFrame) -> DataFrame:
+    """The immediate answers to client_messages: session to hello (with a new id where there is none), cleared to clear, error to what can't be read."""
+    kind = F.create_map(*(F.lit(x) for x in ("hello", "session", "clear", "cleared", "error", "error")))
+    told = messages.withColumn("type", F.try_element_at(kind, "type")).where(F.col("type").isNotNull())
+    user = F.when(F.col("type") == "session", F.coalesce("userId", F.uuid())).otherwise(F.col("userId"))
+    return told.select("type", user.alias("userId"), F.when(F.col("type") == "error", "invalid json").alias("text"))
+
+
 def token_events(lines: DataFrame, key: str = "request", line: str = "line") -> DataFrame:
     """A stream of event-stream lines as (key, type, content): token rows, and done at the end mark."""
     body = F.when(F.col(line).startswith("data: "), F.substring(F.col(line), 7, 2**31 - 1))
