@@ -265,18 +265,37 @@ def test_sketch_estimates_similarity():
 # --- sharding ---
 
 
-def test_shards_are_contiguous_balanced_and_gapless(spark):
+def test_shards_equal_a_plain_law(spark):
+    """Rows in order of hash of the text and id, cut at equal bytes; a cut inside equal texts moves to their nearer edge if that is near."""
     rng = random.Random(5)
-    texts = ["x" * rng.randrange(200) for _ in range(800)] + ["same text here"] * 300
-    rows = sharding.shard_by_bytes(documents(spark, texts)).collect()
-    sizes, slots = Counter(), defaultdict(list)
-    for r in rows:
-        t = texts[r.doc_id].encode()
-        assert (r.size, r.text_crc32) == (len(t) + 1, zlib.crc32(t))
+    for shards, slack, same in ((8, 0.01, 300), (8, 0.5, 300), (3, 0.2, 40), (1, 0.01, 5)):
+        texts = ["x" * rng.randrange(200) for _ in range(500)] + ["same text here"] * same + [None, "", "é" * 50]
+        docs = documents(spark, texts)
+        hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+        raw = [(t or "").encode() for t in texts]
+        order = sorted(range(len(texts)), key=lambda k: (hashes[k], k))
+        first, at = {}, 0
+        for k in order:
+            first[k] = at
+            at += len(raw[k]) + 1
+        edges = []
+        for t in (at * k // shards for k in range(1, shards)):
+            inside = next(k for k in order if first[k] <= t < first[k] + len(raw[k]) + 1)
+            group = [k for k in order if hashes[k] == hashes[inside]]
+            near = [e for e in (first[group[0]], first[group[-1]] + len(raw[group[-1]]) + 1) if abs(e - t) <= at / shards * slack]
+            edges.append(min(near, key=lambda e: abs(e - t)) if near else t)
+        slots, want = Counter(), {}
+        for k in order:
+            shard = sum(first[k] >= e for e in edges)
+            want[k] = (len(raw[k]) + 1, zlib.crc32(raw[k]), shard, slots[shard])
+            slots[shard] += 1
+        got = {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard_by_bytes(docs, shards, slack=slack).collect()}
+        assert got == want
+    sizes = Counter()
+    for r in sharding.op4_prefix_sum_shards(spark, FOLDER).collect():
         sizes[r.shard] += r.size
-        slots[r.shard].append(r.slot)
-    assert set(sizes) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(sizes.values()) - min(sizes.values()) < 0.06 * sum(sizes.values()) / 8 + 400
+        assert r.law == "bytes" and r.grown_shard is None
+    assert set(sizes) == set(range(8)) and max(sizes.values()) < 1.2 * sum(sizes.values()) / 8
 
 
 # --- language models ---
@@ -341,6 +360,35 @@ def test_model_is_counted_on_all_trusted_up_to_12000(spark, monkeypatch):
     assert seen.value.args[0] == labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) % 4 != 0).count()
 
 
+def test_thresholds_equal_plain_quantiles(spark):
+    docs, labels = stored(spark), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 11 == 0, None).otherwise(F.col("lang")))
+    got = quality.classify(docs, labels, quantile=0.6).collect()
+    good = {r.doc_id: r.u for r in labels.where("quality = 1").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)).alias("u")).collect()}
+    by_lang, every = defaultdict(list), []
+    for r in got:
+        if good.get(r.doc_id, 1) % 4 == 0:
+            by_lang[r.lang].append(r.perplexity)
+            every.append(r.perplexity)
+    quantile = lambda x: sorted(x)[math.ceil(0.6 * len(x)) - 1]
+    for r in got:
+        want = quantile(by_lang.get(r.lang) or every)
+        assert r.threshold == want and r.kept == (r.perplexity <= want)
+        assert abs(r.perplexity - 10 ** (-r.log10_prob / r.n_tokens)) < 1e-6 * r.perplexity
+
+
+def test_model_files_go_when_scores_are_there(spark):
+    from textloom.llm.common import shared_dir
+
+    import os
+
+    docs = stored(spark).limit(20)
+    before = set(os.listdir(shared_dir(spark)))
+    kneser_ney.score(docs, docs).count()
+    quality.classify(docs, docs.select("doc_id", F.lit(1).alias("quality"))).count()
+    assert not [x for x in set(os.listdir(shared_dir(spark))) - before if x.startswith("kn-")]
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     folder = "/root/testdata/sf0.01"
     got = quality.op3_trusted_perplexity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")

@@ -7,29 +7,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_CHECKPOINT_DIR = "/tmp/textloom-checkpoints"
+from ..sources.shared import cut, shared_dir
 
+__all__ = ["STRIDE", "WordHashes", "ascii_lower", "cut", "fold", "kept", "mixed", "scanned", "shared_dir", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches; one is set only where the session has none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    return DEFAULT_CHECKPOINT_DIR
-
-
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write df to the checkpoint folder and go on from there, so that lost executors cost no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager)
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of doc_id as text, modulo folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -11,13 +11,15 @@ Words are known by 64-bit hashes. Passes:
    were seen once, twice and more often; it passes on how many contexts each w has.
 3. These continuation counts are summed by the range of w.
 
-Scoring workers memory-map the arrays, so a machine's page cache holds one copy of what is
-used. Two words would share a hash with probability (distinct words)^2 / 2^65.
+There are as many ranges as the session has shuffle partitions, or more, so that one holds
+what PART_BYTES of text give. Scoring workers memory-map the arrays, so a machine's page
+cache holds one copy of what is used; the files go once the scores are written. Two words would share a hash with probability (distinct words)^2 / 2^65.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -32,6 +34,7 @@ from .common import WordHashes, cut, fold, kept, mixed, shared_dir, table
 END = 0x9E3779B97F4A7C15  # the end token's hash: no word's
 FLUSH = 3_000_000  # tokens that a task holds before it sums them up
 CHUNK = 2_000_000  # bytes of text scored at once
+PART_BYTES = 128 << 20  # about the most text whose words or pairs meet in one range
 PACKED = "kind int, part int, n long, keys binary, counts binary"
 
 
@@ -160,19 +163,23 @@ class Vocabulary:
     def __init__(self, info: dict):
         self.info, self.words = info, WordHashes()
         self.base = np.array(info["base"], dtype=np.int64)
-        self.hashes = [load(info["dir"], f"hash-{p}") if n else None for p, n in enumerate(np.diff(self.base))]
+        self.sizes, self.open = np.diff(self.base), {}
+
+    def hashes(self, p: int) -> np.ndarray:
+        if p not in self.open:
+            self.open[p] = load(self.info["dir"], f"hash-{p}")
+        return self.open[p]
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """V + 1 for words unseen."""
         known, back = np.unique(h, return_inverse=True)
         out = np.full(len(known), self.info["V"] + 1, dtype=np.int64)
-        part = hash_part(known, len(self.hashes))
-        at = np.searchsorted(part, np.arange(len(self.hashes) + 1))
-        for p in np.flatnonzero(at[1:] > at[:-1]):
-            if self.hashes[p] is not None:
-                q = known[at[p] : at[p + 1]]
-                k = np.minimum(np.searchsorted(self.hashes[p], q), len(self.hashes[p]) - 1)
-                out[at[p] : at[p + 1]] = np.where(self.hashes[p][k] == q, k + self.base[p], self.info["V"] + 1)
+        part = hash_part(known, len(self.sizes))
+        at = np.searchsorted(part, np.arange(len(self.sizes) + 1))
+        for p in np.flatnonzero((at[1:] > at[:-1]) & (self.sizes > 0)):
+            q, own = known[at[p] : at[p + 1]], self.hashes(p)
+            k = np.minimum(np.searchsorted(own, q), len(own) - 1)
+            out[at[p] : at[p + 1]] = np.where(own[k] == q, k + self.base[p], self.info["V"] + 1)
         return out[back]
 
 
@@ -209,9 +216,11 @@ def chunks(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[tuple[int, int]
 
 
 def train(rows: DataFrame, parts: int | None = None) -> dict:
-    """Count `text` (binary) of rows and write the model; what scoring needs to open it."""
+    """Count `text` (binary) of rows and write the model; what scoring needs to open it. Whoever calls removes its folder, `dir`."""
     spark = rows.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     folder = model_dir(spark)
 
     def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +426,7 @@ def score(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col:
 
     A null text is empty: its only token is the end. Repeated rows are scored each. Without
     training rows every probability is 1. An empty table gives no rows. Other columns are
-    not read.
+    not read. The scores are written before this returns, and the model's files removed.
     """
     as_bytes = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     info = train(trained.select(as_bytes))
@@ -430,7 +439,11 @@ def score(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col:
                 n, known, base, s = m.score(texts[a:z])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(z - a, info["N"]), pa.int64()), pa.array(base), pa.array(s)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    try:
+        return cut(scored)
+    finally:
+        shutil.rmtree(info["dir"], ignore_errors=True)
 
 
 def op6_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

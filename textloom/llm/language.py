@@ -191,7 +191,7 @@ def samples_of(labelled: DataFrame, docs_most: int = SAMPLE_DOCS, chars_most: in
 
 
 def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, text_hash, lang_pred, score, phrases_per_letter, for every row of docs, learned from `labelled`.
+    """doc_id, text_hash, lang_pred, score, phrases_per_letter, n_letters (with single blanks), for every row of docs, learned from `labelled`.
 
     score is how far the best language's phrases lie below the second's, as a share: 0 for
     a tie (the name first in order wins), and null texts and texts without
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
         def answer(ids: list, hashes: list[int], texts: list[str]) -> pa.RecordBatch:
             plain = [folded(t) for t in texts]
-            names, scores, rates = [UNKNOWN] * len(ids), np.zeros(len(ids)), np.zeros(len(ids))
+            names, scores, rates, sizes = [UNKNOWN] * len(ids), np.zeros(len(ids)), np.zeros(len(ids)), np.array([len(t) for t in plain], dtype=np.int64)
             if languages.names:
                 counts, sizes = languages.phrases(plain)
                 best = counts.argmin(1)
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
                 scores = np.where(has, gap, 0.0)
                 rates = np.where(has, ranked[:, 0] / np.maximum(sizes, 1), 0.0)
                 names = [languages.names[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(names, pa.string()), pa.array(scores), pa.array(rates)], names=["doc_id", "text_hash", "lang_pred", "score", "phrases_per_letter"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(names, pa.string()), pa.array(scores), pa.array(rates), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "lang_pred", "score", "phrases_per_letter", "n_letters"])
 
         ids: list = []
         hashes: list[int] = []
@@ -237,7 +237,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
             yield answer(ids, hashes, texts)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, lang_pred string, score double, phrases_per_letter double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, lang_pred string, score double, phrases_per_letter double, n_letters long")
 
 
 def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
