@@ -4,80 +4,107 @@ Each stage works on all its predecessor kept and takes effect: documents without
 go, one document of each near-duplicate group stays, contaminated documents go and single
 leaked passages are cut out, personal data is replaced by its kind, and what is left is
 packed. Every stage but the last returns the columns of documents.
+
+Findings come back to the documents by id and hash of the text, so rows that repeat an id
+with other texts, and rows without id, are told apart. Documents may have any other
+columns: findings are joined as columns of their own table and never added by name. An
+empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, language, near_dup, packing, pii
 from textloom.llm.common import cut, table
 
-#: Rows that a side of a join may have to be sent to every task; larger sides are joined by shuffle.
-SENT_MOST = 500_000
-#: A text of at least this many characters whose best language needs nearly as many phrases as the second is in none of the learned ones.
-UNSURE_CHARS, UNSURE = 400, 0.01
+#: Bytes, about, that a side of a join may have to be sent to every task; larger sides are joined by shuffle.
+SENT_MOST = 64 << 20
+ROW_BYTES, SPAN_BYTES = 64, 64
+#: A text of at least this many letters whose best language needs nearly as many phrases as the second is in none of the learned ones.
+UNSURE_LETTERS, UNSURE = 400, 0.01
 
 
 def _bounded(side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if side.limit(SENT_MOST + 1).count() <= SENT_MOST else side
+    """side, which is checkpointed, to be broadcast if its rows and spans are few enough."""
+    spans = F.sum(F.greatest(F.size("spans"), F.lit(0))) if "spans" in side.columns else F.lit(0)
+    n = side.agg((F.count("*") * ROW_BYTES + F.coalesce(spans, F.lit(0)) * SPAN_BYTES).alias("n")).first()["n"]
+    return F.broadcast(side) if n <= SENT_MOST else side
+
+
+def _hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def _same(docs: DataFrame, found: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(found["doc_id"]) & (_hash(docs) == found["text_hash"])
+
+
+def _anew(found: DataFrame, *columns: str) -> DataFrame:
+    """The columns as new ones, which no join takes for those of an earlier finding."""
+    return found.select(*(F.col(c).alias(c) for c in columns))
+
+
+def _keys(found: DataFrame) -> DataFrame:
+    return cut(_anew(found, "doc_id", "text_hash").distinct())
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose (doc_id, hash of the text) gone names; the names with __ clash with no column."""
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = _bounded(cut(gone.select(F.col("doc_id").alias("__id"), F.col("h").alias("__g")).distinct()))
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__h"] == gone["__g"]), "left_anti").drop("__h")
+    """docs without the rows whose doc_id (null is one) and hash of the text gone names."""
+    gone = _bounded(gone)
+    return docs.join(gone, _same(docs, gone), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language: texts without a letter go, and long ones that no learned language explains better than another."""
+    """Documents of a language: texts without a letter go (null and empty ones too), and long ones that no learned
+    language explains better than another. Of rows that repeat id and text all stay or all go."""
     found = language.identify(docs, docs)
-    hashed = docs.select(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.length("text").alias("n"))
-    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < UNSURE)).select("doc_id", "text_hash", "lang_pred").distinct()
-    bad = _bounded(cut(bad))
-    gone = hashed.join(bad, hashed["d"].eqNullSafe(bad["doc_id"]) & (hashed["h"] == bad["text_hash"])).where((F.col("lang_pred") == language.UNKNOWN) | (F.col("n") >= UNSURE_CHARS))
-    return _without(docs, gone.select("doc_id", "h"))
+    unsure = (F.col("score") < UNSURE) & (F.col("n_letters") >= UNSURE_LETTERS)
+    return _without(docs, _keys(found.where((F.col("lang_pred") == language.UNKNOWN) | unsure)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates; of rows that repeat id and text one stays."""
+    """One document, that of the smallest id, of each group of near-duplicates.
+
+    Of rows that repeat id (null is one) and text one stays. An id's other texts are documents
+    of their own. Texts without words are in no group, nor are rows without id.
+    """
     found = cut(near_dup.near_duplicates(docs))
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    dropped = _bounded(found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(dropped, docs["doc_id"] == dropped["__id"], "left_anti")
+    docs = _without(docs, _keys(found.where(~F.col("kept"))))
+    repeated = _keys(found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1"))
+    if repeated.isEmpty():
+        return docs
+    some = _bounded(repeated)
+    once = docs.join(some, _same(docs, some), "left_semi").dropDuplicates(["doc_id", "text"])
+    return _without(docs, repeated).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of two benchmark items or more go; a passage of one item is cut out."""
+    """Documents that hold passages of two benchmark items or more go; a passage of one item is cut out. Null and empty texts stay as they are."""
     found = cut(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_items > 0"))
-    docs = _without(docs, found.where("contaminated").select("doc_id", F.col("text_hash").alias("h")))
-    single = found.where("NOT contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__g"), F.col("spans").alias("__spans"))
-    return _changed(docs, single, lambda text, spans: decontaminate.without_spans(text, spans))
+    docs = _without(docs, _keys(found.where("contaminated")))
+    return _changed(docs, found.where("NOT contaminated"), decontaminate.without_spans)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind in angle brackets."""
-    found = pii.find(docs).where(F.size("spans") > 0)
-    return _changed(docs, cut(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__g"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__g"])), pii.redacted)
+    """Personal data replaced by its kind in angle brackets. Null and empty texts stay as they are."""
+    return _changed(docs, pii.find(docs).where(F.size("spans") > 0), pii.redacted)
 
 
-def _changed(docs: DataFrame, spans: DataFrame, new_text) -> DataFrame:
-    """docs whose texts (and n_chars) are new where spans (__id, __g: hash of the text, __spans) name them."""
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spans = _bounded(spans)
-    met = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["__id"]) & (keyed["__h"] == spans["__g"]), "left")
-    met = met.withColumn("text", F.when(F.col("__spans").isNotNull(), new_text(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return met.select(*(met[f"`{c}`"] for c in docs.columns))
+def _changed(docs: DataFrame, found: DataFrame, new_text) -> DataFrame:
+    """docs whose texts (and n_chars, where there is such a column) are new where found (doc_id, text_hash, spans) names them."""
+    found = _bounded(cut(_anew(found, "doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])))
+    met = docs.join(found, _same(docs, found), "left")
+    hit, text = found["spans"].isNotNull(), docs["text"]
+    new = F.when(hit, new_text(text, found["spans"])).otherwise(text)
+    size = lambda c: F.when(hit, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(c)
+    changed = {"text": lambda c: new, "n_chars": size}
+    return met.select(*(changed.get(c, lambda x: x)(docs[f"`{c}`"]).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences. A null or empty text is its end id alone; repeated rows are packed each."""
     return packing.pack(docs)
 
 
