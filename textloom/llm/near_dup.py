@@ -120,15 +120,17 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 
 def hubs_of(rows: DataFrame, key: str, members: str | None = None) -> DataFrame | None:
-    """key, parts: the keys with more than HUB rows, and over how many tasks to deal them; None if there are none.
+    """key, parts: the keys with more than HUB rows, at most MOST_HUBS largest, and over how many tasks to deal them; None if there are none.
 
     members: the column of rows that holds their number, where it is known.
     """
-    spark, most = rows.sparkSession, HUB
     counts = rows.select(key, F.col(members).alias("c")) if members else rows.groupBy(key).agg(F.count("*").alias("c"))
-    while len(got := counts.where(F.col("c") > most).limit(MOST_HUBS + 1).collect()) > MOST_HUBS:
-        most *= 4
-    return F.broadcast(spark.createDataFrame([(r[key], -(-r["c"] // most)) for r in got], f"{key} long, parts int")) if got else None
+    got = counts.where(F.col("c") > HUB).orderBy(F.desc("c"), key).limit(MOST_HUBS).collect()  # one job, unlike a limit without order
+    return _dealt(rows.sparkSession, key, [(r[key], r["c"]) for r in got])
+
+
+def _dealt(spark: SparkSession, key: str, sizes: list[tuple[int, int]]) -> DataFrame | None:
+    return F.broadcast(spark.createDataFrame([(k, -(-c // HUB)) for k, c in sizes], f"{key} long, parts int")) if sizes else None
 
 
 def met(left: DataFrame, right: DataFrame, on: str, hubs: DataFrame | None, by: Column) -> DataFrame:
@@ -160,15 +162,19 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     hubs = hubs_of(both, "b")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    large = hubs_of(labels.select(F.col("label").alias("at")), "at")
     while True:
         told = met(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs, F.col("a"))
         near = told.groupBy("a").agg(F.min("label").alias("m"))
         step = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("at"), F.col("label").alias("was")))
         to = step.select(F.col("node").alias("at"), F.col("at").alias("jump"))
-        new = cut(met(step, to, "at", hubs_of(step, "at"), F.col("node")).select("node", F.least("at", "jump").alias("label"), "was"))
-        if new.where(F.col("label") != F.col("was")).isEmpty():
+        new = cut(met(step, to, "at", large, F.col("node")).select("node", F.least("at", "jump").alias("label"), "was"))
+        # in one job: whether a label moved, and the labels that many nodes have now
+        sizes = new.groupBy("label").agg(F.count("*").alias("c"), F.max(F.col("label") != F.col("was")).alias("moved"))
+        told = sizes.where((F.col("c") > HUB) | F.col("moved")).orderBy(F.desc("c"), F.desc("moved"), "label").limit(MOST_HUBS).collect()
+        if not any(r["moved"] for r in told) and (len(told) < MOST_HUBS or not new.where("label <> was").count()):
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels, large = new.select("node", "label"), _dealt(new.sparkSession, "at", [(r["label"], r["c"]) for r in told if r["c"] > HUB])
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,8 +201,14 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     pairs = cut(held.where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct())
     links = confirmed(docs, pairs, nodes, size, similar)
     labels = components(links)
-    links = links.unionByName(_again(docs, held, labels, nodes, crowded, size, similar))
-    labels = components(links)
+    more = _again(docs, held, labels, nodes, crowded, size, similar)
+    if more.count():  # they join labels
+        of = labels.select("node", F.col("label").alias("at"))
+        ends = [of.withColumnRenamed("node", x).withColumnRenamed("at", f"l{x}") for x in "ab"]
+        pairs = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        joined = components(pairs.where("a <> b"))
+        over = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = labels.join(over, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(joined.join(labels, "node", "left_anti").select("node", "label"))
     placed = cut(nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")))
     least = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = met(placed.select("node", "label"), least, "label", hubs_of(placed, "label"), F.col("node")).select("node", "component_id")
