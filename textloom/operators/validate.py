@@ -107,7 +107,7 @@ def components(pairs: DataFrame) -> DataFrame:
         near = ends.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
         step = cut(label.join(near, "id").select("id", F.least("c", "m").alias("at"), F.col("c").alias("was")))
         new = cut(step.join(step.select(F.col("id").alias("at"), F.col("at").alias("c")), "at").select("id", "c", "was"))
-        if new.where("c <> was").isEmpty():
+        if not new.where("c <> was").count():
             return new.select("id", "c")
         label = new.select("id", "c")
 
