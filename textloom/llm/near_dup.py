@@ -38,7 +38,7 @@ BANDS = BINS // ROWS
 WORDS, SIMILAR = 5, 80  # the library's own setting; the op2 query takes four words
 BLOCK, BLOCK_ITEMS = 2_000, 1_000_000  # about the most documents and shingles of a family's block
 MOST_IDS = 1_000_000  # ids to broadcast to the scan; more go through a join
-HUB, MOST_HUBS = 1_000, 50_000  # rows of a key that one task takes; keys to be dealt that may be sent to every task
+HUB, MOST_HUBS = 10_000, 50_000  # rows of a key that one task takes; keys to be dealt that may be sent to every task
 
 _EDGES = np.array([(2**64 * k) // BINS for k in range(BINS)], dtype=np.uint64)
 _ORDER = np.argsort(mixed(np.arange(BINS * BINS, dtype=np.uint64)).reshape(BINS, BINS), axis=1).argsort(axis=1).astype(np.uint8)
@@ -162,13 +162,13 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     hubs = hubs_of(both, "b")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    large = hubs_of(labels.select(F.col("label").alias("at")), "at")
+    large = hubs.withColumnRenamed("b", "at") if hubs else None  # the centres of large stars are their first labels
     while True:
         told = met(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs, F.col("a"))
         near = told.groupBy("a").agg(F.min("label").alias("m"))
-        step = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("at"), F.col("label").alias("was")))
-        to = step.select(F.col("node").alias("at"), F.col("at").alias("jump"))
-        new = cut(met(step, to, "at", large, F.col("node")).select("node", F.least("at", "jump").alias("label"), "was"))
+        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("at"), F.col("label").alias("was"))
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("jump"))
+        new = cut(met(step, jump, "at", large, F.col("node")).select("node", F.least("at", "jump").alias("label"), "was"))
         # in one job: whether a label moved, and the labels that many nodes have now
         sizes = new.groupBy("label").agg(F.count("*").alias("c"), F.max(F.col("label") != F.col("was")).alias("moved"))
         told = sizes.where((F.col("c") > HUB) | F.col("moved")).orderBy(F.desc("c"), F.desc("moved"), "label").limit(MOST_HUBS).collect()
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     docs = _source(docs, id_col, text_col)
     sketch = cut(sketched(docs, size))
     linking = sketch.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    nodes = cut(linking.groupBy("node", "n").agg(F.min("doc_id").alias("rep")))
+    nodes = cut(linking.groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     one = linking.where(F.size("bands") > 0).join(nodes.select("node", "rep"), (linking["node"] == nodes["node"]) & (F.col("doc_id") == F.col("rep")), "left_semi")
     rows = cut(one.select("node", "bands").distinct()).select("node", F.explode("bands").alias("key"))
     stars = cut(rows.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("members")).where(F.col("members") > 1))
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     links = confirmed(docs, pairs, nodes, size, similar)
     labels = components(links)
     more = _again(docs, held, labels, nodes, crowded, size, similar)
-    if more.count():  # they join labels
+    if more is not None and more.count():  # they join labels
         of = labels.select("node", F.col("label").alias("at"))
         ends = [of.withColumnRenamed("node", x).withColumnRenamed("at", f"l{x}") for x in "ab"]
         pairs = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     placed = cut(nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")))
     least = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = met(placed.select("node", "label"), least, "label", hubs_of(placed, "label"), F.col("node")).select("node", "component_id")
-    told = met(linking.select("doc_id", "text_hash", "n", "node"), found, "node", hubs_of(linking, "node"), F.monotonically_increasing_id())
+    told = met(linking.select("doc_id", "text_hash", "n", "node"), found, "node", hubs_of(nodes, "node", "copies"), F.monotonically_increasing_id())
     alone = sketch.where((F.col("n") == 0) | F.col("doc_id").isNull()).withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")]
     return told.select(*columns).unionByName(alone.select(*columns))
@@ -238,13 +238,15 @@ def joining(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right:
     return out
 
 
-def _again(docs: DataFrame, held: DataFrame, labels: DataFrame, nodes: DataFrame, crowded: DataFrame | None, size: int, similar: int) -> DataFrame:
-    """Links between members of families of buckets that the stars left in several components."""
+def _again(docs: DataFrame, held: DataFrame, labels: DataFrame, nodes: DataFrame, crowded: DataFrame | None, size: int, similar: int) -> DataFrame | None:
+    """Links between members of families of buckets that the stars left in several components; None if there are no such buckets."""
     placed = cut(held.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("key", "first")
     members = cut(met(placed, open_keys, "key", crowded, F.col("node")).select("node", "label", "first").distinct())
+    if not members.count():
+        return None
     family = components(members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))).select("node", F.col("label").alias("family"))
-    inside = cut(members.select("node", "label").distinct().join(family, "node").join(nodes, "node").select("node", "rep", "n", "label", "family"))
+    inside = cut(members.select("node", "label").distinct().join(family, "node").join(nodes.drop("copies"), "node").select("node", "rep", "n", "label", "family"))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int")
     sized = inside.groupBy("family").agg(blocks.alias("blocks"))
     dealt = met(inside.select("node", "label", "family"), sized, "family", hubs_of(inside, "family"), F.col("node")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
