@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -27,3 +28,9 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Collect the driver's garbage, upon which Spark drops shuffles, broadcasts and checkpoints that nothing refers to; long iterations keep its heap too calm for that."""
+    gc.collect()
+    spark._jvm.System.gc()
