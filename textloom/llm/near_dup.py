@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import sweep
 from .common import WordHashes, cut, mixed, table
 
 BINS, ROWS = 240, 6
@@ -172,6 +173,7 @@ def components(links: DataFrame) -> DataFrame:
         # in one job: whether a label moved, and the labels that many nodes have now
         sizes = new.groupBy("label").agg(F.count("*").alias("c"), F.max(F.col("label") != F.col("was")).alias("moved"))
         told = sizes.where((F.col("c") > HUB) | F.col("moved")).orderBy(F.desc("c"), F.desc("moved"), "label").limit(MOST_HUBS).collect()
+        sweep(new.sparkSession)
         if not any(r["moved"] for r in told) and (len(told) < MOST_HUBS or not new.where("label <> was").count()):
             return new.select("node", "label")
         labels, large = new.select("node", "label"), _dealt(new.sparkSession, "at", [(r["label"], r["c"]) for r in told if r["c"] > HUB])
@@ -190,6 +192,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     if similar < SIMILAR:
         raise ValueError(f"the bands find pairs of similarity {SIMILAR} or more")
     docs = _source(docs, id_col, text_col)
+    sweep(docs.sparkSession)
     sketch = cut(sketched(docs, size))
     linking = sketch.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     nodes = cut(linking.groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
@@ -201,6 +204,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     pairs = cut(held.where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct())
     links = confirmed(docs, pairs, nodes, size, similar)
     labels = components(links)
+    sweep(docs.sparkSession)
     more = _again(docs, held, labels, nodes, crowded, size, similar)
     if more is not None and more.count():  # they join labels
         of = labels.select("node", F.col("label").alias("at"))
