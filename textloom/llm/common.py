@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["STRIDE", "WordHashes", "ascii_lower", "cut", "fold", "kept", "mixed", "scanned", "shared_dir", "table"]
+__all__ = ["STRIDE", "WordHashes", "ascii_lower", "cut", "fold", "forget", "kept", "mixed", "scanned", "shared_dir", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,7 +52,7 @@ def scanned(xs: Column, zero: Column, step, out, stride: int = STRIDE) -> Column
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered; emptied when it holds `most` of them."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 
@@ -76,6 +76,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _kept: dict = {}
 
 
+def forget() -> None:
+    """Let go of what an earlier operator's tasks kept in this worker process."""
+    _kept.clear()
+
+
 def kept(key: tuple, build):
     """What a worker process keeps from task to task: one thing, the last asked for, so that models of earlier stages go."""
     if key not in _kept:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, fold, kept, table
 
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 60_000  # bounds of a language's sample
-BLOCK, BATCH_CHARS = 128, 1_500_000
+BLOCK, BATCH_CHARS = 128, 500_000
 DENSE = 16_000_000  # cells of a language's table of transitions; larger ones are kept as sorted keys
 UNKNOWN = "und"
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import sweep
-from .common import WordHashes, cut, mixed, table
+from .common import WordHashes, cut, forget, mixed, table
 
 BINS, ROWS = 240, 6
 BANDS = BINS // ROWS
@@ -92,6 +92,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     least = -(-SIMILAR // (100 - SIMILAR))  # a smaller set links with its equals alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words = WordHashes()
         for batch in batches:
             n, node, keys = [], [], []
