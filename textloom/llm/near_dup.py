@@ -128,11 +128,7 @@ def hubs_of(rows: DataFrame, key: str, members: str | None = None) -> DataFrame
     """
     counts = rows.select(key, F.col(members).alias("c")) if members else rows.groupBy(key).agg(F.count("*").alias("c"))
     got = counts.where(F.col("c") > HUB).orderBy(F.desc("c"), key).limit(MOST_HUBS).collect()  # one job, unlike a limit without order
-    return _dealt(rows.sparkSession, key, [(r[key], r["c"]) for r in got])
-
-
-def _dealt(spark: SparkSession, key: str, sizes: list[tuple[int, int]]) -> DataFrame | None:
-    return F.broadcast(spark.createDataFrame([(k, -(-c // HUB)) for k, c in sizes], f"{key} long, parts int")) if sizes else None
+    return F.broadcast(rows.sparkSession.createDataFrame([(r[key], -(-r["c"] // HUB)) for r in got], f"{key} long, parts int")) if got else None
 
 
 def met(left: DataFrame, right: DataFrame, on: str, hubs: DataFrame | None, by: Column) -> DataFrame:
@@ -161,23 +157,21 @@ def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, si
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of each node's component, for the nodes that links (a, b) name."""
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(ends.unionByName(ends.select("a", F.col("a").alias("b"))).distinct())  # each node is a neighbour of its own
     hubs = hubs_of(both, "b")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    large = hubs.withColumnRenamed("b", "at") if hubs else None  # the centres of large stars are their first labels
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     while True:
         told = met(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs, F.col("a"))
-        near = told.groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("at"), F.col("label").alias("was"))
+        step = told.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("at"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("was"))
+        # nothing follows this join but its writing, so Spark itself splits the rows of a label that many nodes have
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("jump"))
-        new = cut(met(step, jump, "at", large, F.col("node")).select("node", F.least("at", "jump").alias("label"), "was"))
-        # in one job: whether a label moved, and the labels that many nodes have now
-        sizes = new.groupBy("label").agg(F.count("*").alias("c"), F.max(F.col("label") != F.col("was")).alias("moved"))
-        told = sizes.where((F.col("c") > HUB) | F.col("moved")).orderBy(F.desc("c"), F.desc("moved"), "label").limit(MOST_HUBS).collect()
+        new = cut(step.join(jump, "at").select("node", F.least("at", "jump").alias("label"), "was"))
+        moved = new.agg(F.max(F.col("label") != F.col("was")).alias("m")).first()["m"]
+        labels = new.select("node", "label")
         sweep(new.sparkSession)
-        if not any(r["moved"] for r in told) and (len(told) < MOST_HUBS or not new.where("label <> was").count()):
-            return new.select("node", "label")
-        labels, large = new.select("node", "label"), _dealt(new.sparkSession, "at", [(r["label"], r["c"]) for r in told if r["c"] > HUB])
+        if not moved:
+            return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
