@@ -134,17 +134,17 @@ def hubs_of(rows: DataFrame, key: str, members: str | None = None) -> DataFrame
 def met(left: DataFrame, right: DataFrame, on: str, hubs: DataFrame | None, by: Column) -> DataFrame:
     """left joined with right on a column of both; rows of hubs are dealt by a hash of `by`, right's go to each part."""
     if hubs is None:
-        return left.join(right, on)
+        return left.join(right.hint("merge"), on)  # sides that grow with the corpus aren't gathered on the driver
     parts = F.coalesce("parts", F.lit(1))
     dealt = left.join(hubs, on, "left").withColumn("part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
     copied = right.join(hubs, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return dealt.join(copied, [on, "part"]).drop("part")
+    return dealt.join(copied.hint("merge"), [on, "part"]).drop("part")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, similar: int) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose full sets have the similarity: a, b."""
     hubs = hubs_of(pairs, "b")
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")).hint("merge"), "a")
     pairs = met(pairs, nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b", hubs, F.col("a"))
     possible = cut(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar).select("a", "b"))
     ends = possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -166,7 +166,7 @@ def components(links: DataFrame) -> DataFrame:
         step = told.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("at"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("was"))
         # nothing follows this join but its writing, so Spark itself splits the rows of a label that many nodes have
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("jump"))
-        new = cut(step.join(jump, "at").select("node", F.least("at", "jump").alias("label"), "was"))
+        new = cut(step.join(jump.hint("merge"), "at").select("node", F.least("at", "jump").alias("label"), "was"))
         moved = new.agg(F.max(F.col("label") != F.col("was")).alias("m")).first()["m"]
         labels = new.select("node", "label")
         sweep(new.sparkSession)
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
     sketch = cut(sketched(docs, size))
     linking = sketch.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     nodes = cut(linking.groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    one = linking.where(F.size("bands") > 0).join(nodes.select("node", "rep"), (linking["node"] == nodes["node"]) & (F.col("doc_id") == F.col("rep")), "left_semi")
+    one = linking.where(F.size("bands") > 0).join(nodes.select("node", "rep").hint("merge"), (linking["node"] == nodes["node"]) & (F.col("doc_id") == F.col("rep")), "left_semi")
     rows = cut(one.select("node", "bands").distinct()).select("node", F.explode("bands").alias("key"))
     stars = cut(rows.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("members")).where(F.col("members") > 1))
     crowded = hubs_of(stars, "key", "members")
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR,
         joined = components(pairs.where("a <> b"))
         over = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
         labels = labels.join(over, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(joined.join(labels, "node", "left_anti").select("node", "label"))
-    placed = cut(nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")))
+    placed = cut(nodes.join(labels.hint("merge"), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")))
     least = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = met(placed.select("node", "label"), least, "label", hubs_of(placed, "label"), F.col("node")).select("node", "component_id")
     told = met(linking.select("doc_id", "text_hash", "n", "node"), found, "node", hubs_of(nodes, "node", "copies"), F.monotonically_increasing_id())
@@ -239,7 +239,7 @@ def joining(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right:
 
 def _again(docs: DataFrame, held: DataFrame, labels: DataFrame, nodes: DataFrame, crowded: DataFrame | None, size: int, similar: int) -> DataFrame | None:
     """Links between members of families of buckets that the stars left in several components; None if there are no such buckets."""
-    placed = cut(held.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    placed = cut(held.join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("key", "first")
     members = cut(met(placed, open_keys, "key", crowded, F.col("node")).select("node", "label", "first").distinct())
     if not members.count():
