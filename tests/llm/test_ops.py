@@ -614,6 +614,13 @@ def test_language_accuracy(spark):
 # --- search ---
 
 
+def test_search_blocks_join_small_neighbouring_parts():
+    assert topk.blocks_of({}, 10) == {}
+    assert topk.blocks_of({4: 50, 0: 30, 1: 30, 2: 60, 3: 10}, 100) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
+    assert topk.blocks_of({k: 1 for k in range(211)}, 103) == {k: k // 103 for k in range(211)}
+    assert topk.blocks_of({0: 500, 1: 500, 2: 1, 3: 1}, 100) == {0: 0, 1: 1, 2: 2, 3: 2}  # a part isn't cut
+
+
 def test_search_is_exact_with_odd_vectors(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vecs = {k: (rng.normal(size=8) * rng.choice([0.1, 1, 5])).tolist() for k in range(400)} | {400: None, 401: [], 402: [float("nan")] * 8, 403: [None] * 8, 404: [1.0, 2.0]}

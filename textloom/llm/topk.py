@@ -7,7 +7,7 @@ first HEAD coordinates carry most of the length.
 1. The FIRST longest vectors, a bounded set, give every query a start: its k-th best score
    among them, and so the least length that a vector must have to matter to it.
 2. Vectors are dealt into blocks by falling length, queries into blocks by rising least
-   length. A block of queries meets only those blocks of vectors that hold a vector long
+   length; small neighbouring partitions make one block. A block of queries meets only those blocks of vectors that hold a vector long
    enough: one group of a co-grouping each, so the plan doesn't grow with either table.
 3. In a group vectors come in slabs by falling length: the sum over the head coordinates
    plus the product of the residual lengths bounds the inner product (Cauchy-Schwarz),
@@ -145,6 +145,19 @@ def basis(base: DataFrame, width: int) -> np.ndarray:
     return np.linalg.svd(second)[0]
 
 
+def blocks_of(parts: dict[int, int], most: int) -> dict[int, int]:
+    """The block of each part (its number and rows): neighbours share one as long as they have at most `most` rows together.
+
+    So however many parts Spark deals rows into, a block's rows and not the number of parts say how often the other side is sent.
+    """
+    out, block, held = {}, 0, 0
+    for part in sorted(parts):
+        if held and held + parts[part] > most:
+            block, held = block + 1, 0
+        out[part], held = block, held + parts[part]
+    return out
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, head: int = HEAD, block: int = BLOCK, hold: int = HOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products with the other vectors.
 
@@ -184,20 +197,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     started = asked.mapInArrow(begin, "vec_id long, v array<long>, len double, start double, need double")
     cores = spark.sparkContext.defaultParallelism
     blocks = max(-(-n // hold), min(cores, -(-n // LEAST)))
-    dealt = cut(base.repartitionByRange(blocks, F.desc("len"), "vec_id").withColumn("block", F.spark_partition_id()))
+    dealt = cut(base.repartitionByRange(blocks, F.desc("len"), "vec_id").withColumn("part", F.spark_partition_id()))
     q_blocks = -(-n_asked // block)
-    q_dealt = cut(started.repartitionByRange(q_blocks, "need", "vec_id").withColumn("q_block", F.spark_partition_id()))
-    # a number a block; blocks of vectors stand by falling length, those of queries by rising need: each meets the first few of the others
-    lengths = dealt.groupBy("block").agg(F.max("len").alias("x")).collect()
-    needs = q_dealt.groupBy("q_block").agg(F.min(F.when(F.col("len") > 0, F.col("need")).otherwise(0.0)).alias("x")).collect()
-    by_length, by_need = (np.array(sorted(x)) for x in ([-r["x"] * (1 + SLACK) for r in lengths], [r["x"] for r in needs]))
+    q_dealt = cut(started.repartitionByRange(q_blocks, "need", "vec_id").withColumn("q_part", F.spark_partition_id()))
+    # a number a part; blocks of vectors stand by falling length, those of queries by rising need: each meets the first few of the others
+    lengths = dealt.groupBy("part").agg(F.count("*").alias("n"), F.max("len").alias("x")).collect()
+    needs = q_dealt.groupBy("q_part").agg(F.count("*").alias("n"), F.min(F.when(F.col("len") > 0, F.col("need")).otherwise(0.0)).alias("x")).collect()
+    of_part, of_q_part = blocks_of({r["part"]: r["n"] for r in lengths}, -(-n // blocks)), blocks_of({r["q_part"]: r["n"] for r in needs}, -(-n_asked // q_blocks))
+    length_of, need_of = [0.0] * (max(of_part.values()) + 1), [np.inf] * (max(of_q_part.values()) + 1)
+    for r in lengths:
+        length_of[of_part[r["part"]]] = max(length_of[of_part[r["part"]]], r["x"])
+    for r in needs:
+        need_of[of_q_part[r["q_part"]]] = min(need_of[of_q_part[r["q_part"]]], r["x"])
+    by_length, by_need = np.sort([-x * (1 + SLACK) for x in length_of]), np.sort(need_of)
     before = lambda edges, x: int(np.searchsorted(edges, x, side="right"))
-    at_length, at_need = (sorted(r[c] for r in rows) for rows, c in ((lengths, "block"), (needs, "q_block")))
-    v_reach = [(r["block"], at_need[met - 1]) for r in lengths if (met := before(by_need, r["x"] * (1 + SLACK)))]
-    q_reach = [(r["q_block"], at_length[met - 1]) for r in needs if (met := before(by_length, -r["x"]))]
-    known = lambda rows, c: F.broadcast(spark.createDataFrame(rows, f"{c} int, last int"))
-    left = q_dealt.join(known(q_reach, "q_block"), "q_block").select("q_block", F.explode(F.sequence(F.lit(0), "last")).alias("block"), "vec_id", F.xxhash64("v").alias("query"), "v", "start")
-    right = dealt.join(known(v_reach, "block"), "block").select(F.explode(F.sequence(F.lit(0), "last")).alias("q_block"), "block", "vec_id", "v")
+    v_reach = [(p, k, met - 1) for p, k in of_part.items() if (met := before(by_need, length_of[k] * (1 + SLACK)))]
+    q_reach = [(p, k, met - 1) for p, k in of_q_part.items() if (met := before(by_length, -need_of[k]))]
+    known = lambda rows, part, own: F.broadcast(spark.createDataFrame(rows, f"{part} int, {own} int, last int"))
+    left = q_dealt.join(known(q_reach, "q_part", "q_block"), "q_part").select("q_block", F.explode(F.sequence(F.lit(0), "last")).alias("block"), "vec_id", F.xxhash64("v").alias("query"), "v", "start")
+    right = dealt.join(known(v_reach, "part", "block"), "part").select(F.explode(F.sequence(F.lit(0), "last")).alias("q_block"), "block", "vec_id", "v")
 
     def search(key: tuple, q: pa.Table, x: pa.Table) -> pa.Table:
         if not q.num_rows or not x.num_rows:
