@@ -240,6 +240,14 @@ def test_no_link_of_dense_families_is_lost(spark, monkeypatch, hub):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_estimates_stay_small_over_rounds(spark):
+    a = b = near_dup.cut(spark.range(20).withColumn("x", F.col("id") % 5))
+    for _ in range(4):  # digits that double with each round filled the driver
+        b = near_dup.cut(b.join(a.withColumnRenamed("x", "y").hint("merge"), "id").join(b.withColumnRenamed("x", "z").hint("merge"), "id").select("id", "x"))
+    assert b._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 63
+    assert sorted(map(tuple, b.collect())) == [(k, k % 5) for k in range(20)]
+
+
 def test_texts_of_one_id_are_documents_of_their_own(spark):
     rows = [(0, "a b c d e f g h"), (1, "a b c d e f g h"), (1, "x y z w v u"), (5, "l m n o p q"), (5, "1 2 3 4 5 6"), (3, "l m n o p q"), (9, "1 2 3 4 5 6"), (None, "x y z w v u"), (None, None), (7, ""), (7, "")]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4)
