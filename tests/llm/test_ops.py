@@ -240,6 +240,34 @@ def test_no_link_of_dense_families_is_lost(spark, monkeypatch, hub):
     assert [got[k] for k in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("hub", [10_000, 6])
+def test_components_work_on_fewer_links_each_round(spark, monkeypatch, hub):
+    """The joins on links of all rounds together take less than twice the links."""
+    rng = random.Random(8)
+    name = [rng.randrange(-(2**62), 2**62) for _ in range(600)]
+    links = {(rng.randrange(200), 200 + rng.randrange(20)) for _ in range(1500)}  # members and what they share
+    links |= {(k, k + 1) for k in range(300, 420)} | {(500, k) for k in range(501, 560)}
+    root = list(range(600))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    least = defaultdict(list)
+    for k in range(600):
+        least[find(k)].append(name[k])
+    want = {name[k]: min(least[find(k)]) for k in {x for pair in links for x in pair}}
+    taken, met = Counter(), near_dup.met
+    monkeypatch.setattr(near_dup, "HUB", hub)
+    monkeypatch.setattr(near_dup, "met", lambda left, right, on, *rest: taken.update({on: left.count()}) or met(left, right, on, *rest))
+    got = near_dup.components(spark.createDataFrame([(name[a], name[b]) for a, b in links], "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.label for r in got} == want
+    assert taken["b"] < 2 * len(links)
+
+
 def test_estimates_stay_small_over_rounds(spark):
     a = b = near_dup.cut(spark.range(20).withColumn("x", F.col("id") % 5))
     for _ in range(4):  # digits that double with each round filled the driver

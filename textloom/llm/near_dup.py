@@ -12,7 +12,8 @@
    over others, is a family; all its members of different components are compared on full
    sets, large families in pairs of blocks, each pair of blocks in a task. So no two
    documents that share a bucket are left untested unless they are in one component already.
-5. Components are found by least labels with pointer jumping, each step checkpointed.
+5. Components are found by merging each node with its least neighbours and keeping the links
+   between the merged, each step checkpointed.
 
 Keys with more than HUB rows (the centre of a large star, a bucket or set that many share)
 are dealt over several tasks in every join on them, the other side's row going to each.
@@ -156,22 +157,28 @@ def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, si
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of each node's component, for the nodes that links (a, b) name."""
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(ends.unionByName(ends.select("a", F.col("a").alias("b"))).distinct())  # each node is a neighbour of its own
-    hubs = hubs_of(both, "b")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
-    while True:
-        told = met(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs, F.col("a"))
-        step = told.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("at"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("was"))
-        # nothing follows this join but its writing, so Spark itself splits the rows of a label that many nodes have
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("jump"))
-        new = cut(step.join(jump.hint("merge"), "at").select("node", F.least("at", "jump").alias("label"), "was"))
-        moved = new.agg(F.max(F.col("label") != F.col("was")).alias("m")).first()["m"]
-        labels = new.select("node", "label")
-        sweep(new.sparkSession)
-        if not moved:
-            return labels
+    """node, label: the least node of each node's component, for the nodes that links (a, b) name; a differs from b.
+
+    Each round merges what is joined and goes on with the links between the merged, so links get fewer.
+    Nodes are hashes: paths along which they fall, which take a round for every two steps, are short.
+    """
+    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    n, labels = edges.count(), None
+    while n or labels is None:
+        hubs = {x: hubs_of(edges, x) if n > HUB else None for x in "ab"}
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("at"))
+        # nothing follows this join and that of the labels but their writing, so Spark itself splits the rows of a node that many point to
+        to = cut(near.join(near.select(F.col("node").alias("at"), F.col("at").alias("label")).hint("merge"), "at").select("node", "label"))
+        ends = {x: to.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"}
+        met_b = met(edges, ends["b"], "b", hubs["b"], F.col("a")).select("a", "lb")
+        merged = met(met_b, ends["a"], "a", hubs["a"], F.col("lb")).where("la <> lb")
+        edges = cut(merged.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        over = to.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = to if labels is None else cut(labels.join(over.hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        n = edges.count()
+        sweep(edges.sparkSession)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
