@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["STRIDE", "WordHashes", "ascii_lower", "cut", "fold", "forget", "kept", "mixed", "scanned", "shared_dir", "table"]
+__all__ = ["STRIDE", "WordHashes", "ascii_lower", "cut", "fold", "forget", "kept", "mixed", "scanned", "shared_dir", "table", "trim"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,11 +84,20 @@ _kept: dict = {}
 def forget() -> None:
     """Let go of what an earlier operator's tasks kept in this worker process."""
     _kept.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give what this worker process has freed back to the machine; the allocators would hold it for the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def kept(key: tuple, build):
     """What a worker process keeps from task to task: one thing, the last asked for, so that models of earlier stages go."""
     if key not in _kept:
-        _kept.clear()
+        forget()
         _kept[key] = build()
     return _kept[key]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import sweep
-from .common import WordHashes, cut, forget, mixed, table
+from .common import WordHashes, cut, forget, mixed, table, trim
 
 BINS, ROWS = 240, 6
 BANDS = BINS // ROWS
@@ -103,6 +103,8 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
                 node.append(set_hash(s))
                 keys.append(bands(s) if len(s) >= least else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists(keys)], names=["doc_id", "text_hash", "n", "node", "bands"])
+        words.clear()
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, text_hash long, n long, node long, bands array<long>")
 
@@ -118,6 +120,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             got = [shingles(t, words, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(set_hash, got), pa.int64()), lists([g.view(np.int64) for g in got])], names=["node", "items"])
+        words.clear()
+        trim()
 
     return wanted.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
 

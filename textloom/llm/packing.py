@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, table, trim
 
 WINDOW, ITEM, BLOCK, END_ID = 2048, 384, 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -251,6 +251,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
                 yield out()
         flush()
         yield out()
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
