@@ -396,6 +396,37 @@ def test_model_is_counted_on_all_trusted_up_to_12000(spark, monkeypatch):
     assert seen.value.args[0] == labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) % 4 != 0).count()
 
 
+def test_model_is_counted_on_all_trusted_of_many(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def train(rows):
+        raise Seen(rows.count())
+
+    monkeypatch.setattr(quality.kn, "train", train)
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    docs = labels.select("doc_id", F.lit("a b").alias("text"), F.lit("en").alias("lang"))
+    want = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) % 4 != 0).count()
+    for most in (1_000_000, 5000):  # ids sent to the scan, and joined
+        monkeypatch.setattr(quality, "MOST_IDS", most, raising=False)
+        with pytest.raises(Seen) as seen:
+            quality.classify(docs, labels)
+        assert seen.value.args[0] == want
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(quality, "ACCURACY", 20)
+    rng = random.Random(4)
+    rows = [(lang, x) for lang, n in (("a", 5000), ("", 700), ("b", 1), ("c", 3)) for x in (round(rng.random() ** 3, 3) for _ in range(n))] + [("d", 0.5)] * 900
+    sets = defaultdict(list)
+    for lang, x in rows:
+        sets[lang].append(x)
+        sets[None].append(x)
+    for q in (0.0, 0.6, 0.97, 0.995, 1.0):
+        got = quality.quantiles(spark.createDataFrame(rows, "lang string, x double"), q)
+        assert got == {lang: sorted(x)[max(1, math.ceil(q * len(x))) - 1] for lang, x in sets.items()}
+
+
 def test_thresholds_equal_plain_quantiles(spark):
     docs, labels = stored(spark), spark.read.parquet(f"{FOLDER}/labels.parquet")
     docs = docs.withColumn("lang", F.when(F.col("doc_id") % 11 == 0, None).otherwise(F.col("lang")))

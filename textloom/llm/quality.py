@@ -5,9 +5,10 @@ each known word has a weight (its own probability, and its backoff as a context)
 known pair a correction. So scoring is a join of the texts' n-grams with a table of
 weights, and a sum:
 
-1. The model is counted on the trusted sample; its weights are cut into shards by hash.
-   The weights of the most frequent n-grams (HEAD) and a Bloom filter of all of them go
-   to every task; both are bounded by the sample's bound.
+1. The model is counted on all trusted documents but those that set the quantiles; its
+   weights are cut into shards by hash. The weights of the most frequent n-grams (HEAD) and
+   a Bloom filter of all of them go to every task; both have a fixed size. A filter that
+   is full lets more n-grams through, which changes no result.
 2. A task adds up the head's weights by itself and sends only n-grams that the filter
    knows, once a text with their number, packed by shard, so no frequent n-gram travels.
 3. A shard's task looks its n-grams up in the shard's sorted arrays and sums by text; the
@@ -27,13 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
 from .common import WordHashes, cut, mixed, table
 
-TRUSTED = 12_000  # most trusted documents that the model is counted on
+MOST_IDS = 1_000_000  # ids to broadcast to the scan; more go through a join
+ACCURACY = 10_000  # of the quantiles that bracket the exact one
 HEAD, BLOOM_BITS = 300_000, 1 << 26
 QUANTILE = 0.995
 BEGIN = np.uint64(0xD6E8FEB86659FD93)
@@ -75,26 +77,29 @@ def weights(info: dict, spark: SparkSession) -> dict:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = kn.Model(info)
-        every = np.concatenate([np.asarray(m.vocabulary.hashes(p)) for p in np.flatnonzero(m.vocabulary.sizes)])
-        ids = np.arange(V + 1)
-
-        p1 = np.log10((m.discount(m.dense("before", ids), info["U"]) + rest / (V + 1)) / info["T"])
-        total, follow = m.dense("count", ids), m.dense("follow", ids, 3)
-        total[V] = info["docs"]
-        for k, x in info["hot_n"].items():
-            follow[k] = x
-        gamma = follow @ np.array(info["D"]) / np.maximum(total, 1)
-        back = np.log10(np.where(gamma > 0, gamma, 1.0))
-        hashes = np.append(every, BEGIN)
         for batch in batches:
             for p in batch.column(0).to_pylist():
+                x = m.array("pair", p)
+                x = np.zeros(0, np.uint64) if x is None else np.asarray(x)
+                a, b = (x // np.uint64(V + 2)).astype(np.int64), (x % np.uint64(V + 2)).astype(np.int64)
                 own = np.arange(m.base[p], m.base[p + 1])
+                ids = np.unique(np.concatenate([own, a, b, [V]]))  # what this range names, not the whole vocabulary; the begin's is the last
+                hashes = np.full(len(ids), BEGIN)
+                at = np.searchsorted(ids, m.base)
+                for q in np.flatnonzero(at[1:] > at[:-1]):
+                    hashes[at[q] : at[q + 1]] = m.vocabulary.hashes(q)[ids[at[q] : at[q + 1]] - m.base[q]]
+                p1 = np.log10((m.discount(m.dense("before", ids), info["U"]) + rest / (V + 1)) / info["T"])
+                total, follow = m.dense("count", ids), m.dense("follow", ids, 3)
+                total[-1] = info["docs"]
+                for k, some in info["hot_n"].items():
+                    follow[ids == k] = some
+                gamma = follow @ np.array(info["D"]) / np.maximum(total, 1)
+                back = np.log10(np.where(gamma > 0, gamma, 1.0))
+                own, a, b = (np.searchsorted(ids, z) for z in (own, a, b))
+                end = own[hashes[own] == np.uint64(kn.END)]
                 own = own[hashes[own] != np.uint64(kn.END)]
                 keys, w, n = [hashes[own]], [p1[own] - unknown + back[own]], [total[own]]
-                x = m.array("pair", p)
-                if x is not None and len(x):
-                    x = np.asarray(x)
-                    a, b = (x // np.uint64(V + 2)).astype(np.int64), (x % np.uint64(V + 2)).astype(np.int64)
+                if len(x):
                     c = m.pair_counts(x) if not len(m.hot) else _counts(m, p)
                     full = (m.discount(c, info["D"]) / np.maximum(total[a], 1)) + gamma[a] * 10 ** p1[b]
                     keys.append(pair_keys(hashes[a], hashes[b]))
@@ -107,9 +112,8 @@ def weights(info: dict, spark: SparkSession) -> dict:
                 for shard in np.flatnonzero(at[1:] > at[:-1]):
                     i = order[at[shard] : at[shard + 1]]
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())] + [pa.array([z[i].astype(t).tobytes()], pa.binary()) for z, t in ((k, "<u8"), (w, "<f4"), (n, "<u2"))], names=["shard", "keys", "weights", "counts"])
-                end = p1[np.flatnonzero(hashes == np.uint64(kn.END))[0]] if p == 0 else None
-                if p == 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.array([end, back[V]]).tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "keys", "weights", "counts"])
+                if len(end):  # in one range
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.array([p1[end[0]], back[-1]]).tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "keys", "weights", "counts"])
 
     def store(key: tuple, got: pa.Table) -> pa.Table:
         s = key[0].as_py()
@@ -231,34 +235,40 @@ def perplexities(docs: DataFrame, w: dict, id_col: str, text_col: str, lang_col:
     return sent.where("shard < 0").unionByName(sums).groupBy("batch").applyInArrow(meet, "doc_id long, lang string, n_tokens long, log10_prob double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
+def quantiles(rows: DataFrame, quantile: float) -> dict:
+    """The exact quantile (the value of rank ceil(quantile * n)) of x by lang, and at None that of all rows."""
+    groups = rows.select("lang", "x").unionByName(rows.select(F.lit(None).cast("string").alias("lang"), "x"))
+    near = F.percentile_approx("x", [max(0.0, quantile - 2 / ACCURACY), min(1.0, quantile + 2 / ACCURACY)], ACCURACY)
+    bounds = groups.groupBy("lang").agg(F.ceil(F.lit(quantile) * F.count("*")).alias("rank"), near.alias("near")).withColumnRenamed("lang", "of")
+    met = cut(groups.join(F.broadcast(bounds), F.col("lang").eqNullSafe(F.col("of"))).withColumn("below", F.col("x") < F.col("near")[0]).where(F.col("x") <= F.col("near")[1]).groupBy("lang", "below", F.when(~F.col("below"), F.col("x")).alias("x")).agg(F.count("*").alias("n"), F.first("rank").alias("rank")))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy(F.col("x").asc_nulls_first()))  # a row for all below and those of a few in ACCURACY
+    got = met.withColumn("upto", upto).where(~F.col("below") & (F.col("upto") >= F.greatest("rank", F.lit(1)))).groupBy("lang").agg(F.min("x").alias("q"))
+    return {r["lang"]: r["q"] for r in got.collect()}  # a row a language
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob, perplexity, threshold, kept for every row of docs.
 
     Trusted are the documents with label 1; every fourth (by a hash of the id) sets the
-    quantiles, at most about `trusted` of the others train. A null text is empty. A null
-    language counts as a language. Without trusted documents nothing is rejected. Repeated
-    rows are each classified. An empty table gives no rows. Other columns are not read.
+    quantiles, all others train. A null text is empty. A null language counts as a
+    language. Without trusted documents nothing is rejected. Repeated rows are each
+    classified. An empty table gives no rows. Other columns are not read.
     """
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("t_id")).where(F.col("t_id").isNotNull()).distinct()
-    good = good.withColumn("u", F.pmod(F.xxhash64("t_id"), F.lit(1_000_003)))
-    sets = cut(good.withColumn("sets", F.col("u") % 4 == 0))
-    n = sets.where("NOT sets").count()
-    share = min(1.0, trusted / n) if n else 1.0
-    chosen = sets.where(~F.col("sets") & (F.pmod(F.xxhash64("t_id", F.lit(1)), F.lit(1_000_003)) < int(share * 1_000_003)))
+    sets = cut(good.withColumn("sets", F.pmod(F.xxhash64("t_id"), F.lit(1_000_003)) % 4 == 0))
+    training = sets.where("NOT sets").select("t_id")
+    few = training.limit(MOST_IDS + 1).count() <= MOST_IDS
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    # about `trusted` ids, whatever the number of labels
-    sample = docs.join(F.broadcast(chosen.select("t_id")), docs[id_col] == F.col("t_id"), "left_semi").select(text)
-    info = kn.train(sample)
+    rows = docs.join(F.broadcast(training) if few else training.hint("merge"), docs[id_col] == F.col("t_id"), "left_semi").select(text)
+    info = kn.train(rows)
     try:
         scored = perplexities(docs, weights(info, docs.sparkSession), id_col, text_col, lang_col)
         found = cut(scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))))
     finally:
         shutil.rmtree(info["dir"], ignore_errors=True)
     setting = found.join(sets.where("sets").select("t_id"), found["doc_id"] == F.col("t_id"), "left_semi")
-    by_lang = setting.groupBy(F.coalesce("lang", F.lit("")).alias("q_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"))
-    overall = setting.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q")).first()["q"]
-    limits = {r["q_lang"]: r["q"] for r in by_lang.collect()}  # a row a language
-    limit = F.lit(math.inf if overall is None else overall)
+    limits = quantiles(setting.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("perplexity").alias("x")), quantile)
+    limit = F.lit(limits.pop(None, math.inf))
     for lang, q in limits.items():
         limit = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(q)).otherwise(limit)
     out = found.withColumn("threshold", limit)
