@@ -381,6 +381,40 @@ def test_sharded_joins_give_the_direct_scores(spark):
     assert len(got) == len(rows) and all(abs(r.log10_prob - want[r.doc_id]) < 1e-3 * max(1, abs(want[r.doc_id]) / 1000) for r in got)
 
 
+def test_model_takes_little_disk_and_pairs_are_written_once(spark, monkeypatch):
+    import os
+
+    docs, seen, cut_types, train, cut, rmtree = stored(spark), {}, [], quality.kn.train, quality.cut, quality.shutil.rmtree
+    monkeypatch.setattr(quality.kn, "train", lambda rows: seen.setdefault("info", train(rows)))
+
+    def kept_cut(df):
+        cut_types.extend(kind for _, kind in df.dtypes)
+        return cut(df)
+
+    def removed(folder, **options):
+        seen["files"] = [os.path.getsize(f"{folder}/{x}") for x in os.listdir(folder)]
+        rmtree(folder, **options)
+
+    monkeypatch.setattr(quality, "cut", kept_cut)
+    monkeypatch.setattr(quality.shutil, "rmtree", removed)
+    assert quality.classify(docs, docs.select("doc_id", F.lit(1).alias("quality"))).count() == docs.count()
+    # a pair takes its key, its count and its bits of the filter, a word its hash, count, contexts and followers
+    assert sum(seen["files"]) <= 11 * seen["info"]["T"] + 36 * seen["info"]["V"] + 300 * len(seen["files"])
+    assert cut_types and "binary" not in cut_types  # no n-grams go to the checkpoint folder
+
+
+def test_runs_of_texts_and_a_full_filter_change_no_score(spark, monkeypatch):
+    docs = stored(spark).limit(60)
+    rows = docs.select(F.col("text").cast("binary").alias("text"))
+    got = []
+    for head, bits, run_pairs, run_texts in ((300_000, 1 << 26, 3_000_000, 50_000), (0, 1 << 26, 50, 50_000), (10, 64, 3_000_000, 1)):
+        for name, x in (("HEAD", head), ("HEAD_MOST", head), ("BLOOM_BITS", bits), ("RUN_PAIRS", run_pairs), ("RUN_TEXTS", run_texts)):
+            monkeypatch.setattr(quality, name, x)
+        info = kneser_ney.train(rows)
+        got.append({r.doc_id: r.log10_prob for r in quality.perplexities(docs, quality.weights(info, spark), "doc_id", "text", "lang").collect()})
+    assert len(got[0]) == 60 and all(x.keys() == got[0].keys() and all(abs(x[k] - v) < 1e-5 * abs(v) for k, v in got[0].items()) for x in got[1:])
+
+
 def test_model_is_counted_on_all_trusted_up_to_12000(spark, monkeypatch):
     class Seen(Exception):
         pass

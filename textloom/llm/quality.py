@@ -1,18 +1,21 @@
 """Quality by perplexity under a Kneser-Ney model of trusted text, with sharded count joins.
 
 An interpolated model's log-probability of a text is a sum over its words and word pairs:
-each known word has a weight (its own probability, and its backoff as a context), each
-known pair a correction. So scoring is a join of the texts' n-grams with a table of
-weights, and a sum:
-
-1. The model is counted on all trusted documents but those that set the quantiles; its
-   weights are cut into shards by hash. The weights of the most frequent n-grams (HEAD) and
-   a Bloom filter of all of them go to every task; both have a fixed size. A filter that
-   is full lets more n-grams through, which changes no result.
-2. A task adds up the head's weights by itself and sends only n-grams that the filter
-   knows, once a text with their number, packed by shard, so no frequent n-gram travels.
-3. A shard's task looks its n-grams up in the shard's sorted arrays and sums by text; the
-   sums meet again by the batch of texts they came from.
+each word has a weight (its own probability, and its backoff as a context), each known pair
+a correction. So scoring is a join of the texts' pairs with the model's counts, and a sum:
+
+1. The model is counted on all trusted documents but those that set the quantiles. Its
+   counts stay where training wrote them, in shards by the range of the context. The
+   corrections of the most frequent pairs (HEAD, or more of a large model) and a Bloom
+   filter of all pairs, of which each shard writes its own stretch, go to every task; both
+   have a bounded size. A filter that is full lets more pairs through, which changes no
+   result.
+2. A task adds up the words' weights and the head's corrections by itself (the words'
+   arrays are memory-mapped) and sends only pairs that the filter knows, as word ids in
+   sorted runs by shard, so no frequent pair travels.
+3. A shard's task looks its pairs up in the shard's sorted array and sums by text; the
+   sums meet again by the run of texts they came from. What tells the run's texts travels
+   with them, so the pairs are written once, by one shuffle.
 
 A text is kept if its perplexity is at most the QUANTILE of its language's trusted texts
 that the model did not see; languages without any use the quantile over all.
@@ -21,7 +24,6 @@ that the model did not see; languages without any use the quantile over all.
 from __future__ import annotations
 
 import math
-import os
 import shutil
 from collections.abc import Iterator
 
@@ -31,126 +33,114 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import sweep
 from . import kneser_ney as kn
-from .common import WordHashes, cut, mixed, table
+from .common import cut, mixed, table
 
 MOST_IDS = 1_000_000  # ids to broadcast to the scan; more go through a join
 ACCURACY = 10_000  # of the quantiles that bracket the exact one
 HEAD, BLOOM_BITS = 300_000, 1 << 26
+HEAD_SHARE, HEAD_MOST = 12, 4_000_000  # of a larger model one pair in HEAD_SHARE is in the head, up to HEAD_MOST
+PAIR_BITS = 16  # of the filter, for each pair, while there are no more than BLOOM_BITS
+RUN_PAIRS, RUN_TEXTS = 3_000_000, 50_000  # that a task holds before it sends them
 QUANTILE = 0.995
-BEGIN = np.uint64(0xD6E8FEB86659FD93)
 ROW = "batch long, shard int, n long, keys binary, docs binary, ids array<long>, langs array<string>, tokens array<long>, base array<double>"
-
-
-def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(mixed(v + np.uint64(1)) + w)
+KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 
 class Bloom:
-    def __init__(self, bits: np.ndarray | None = None):
-        self.bits = np.zeros(BLOOM_BITS >> 3, dtype=np.uint8) if bits is None else bits
+    """A filter of pairs; each part of the model has a stretch of it, from `start` in bits on, as its pairs are many."""
+
+    def __init__(self, sizes: list[int], most: int):
+        total = sum(sizes)
+        bits = min(most, PAIR_BITS * total)
+        self.start = np.array([k * bits // max(total, 1) // 8 * 8 for k in [0, *np.cumsum(sizes).tolist()]], dtype=np.int64)
+        self.bits = np.zeros(int(self.start[-1]) >> 3, dtype=np.uint8)
 
-    @staticmethod
-    def _at(keys: np.ndarray) -> Iterator[np.ndarray]:
+    def _at(self, keys: np.ndarray, part: np.ndarray) -> Iterator[np.ndarray]:
+        start, width = self.start[part], (self.start[part + 1] - self.start[part]).astype(np.uint64)
         for k in range(3):
-            yield mixed(keys + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - 26)
+            yield start + ((mixed(keys + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(32)) * width >> np.uint64(32)).astype(np.int64)
 
-    def add(self, keys: np.ndarray) -> None:
-        for at in self._at(keys):
-            np.bitwise_or.at(self.bits, at >> np.uint64(3), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
+    def stretch(self, p: int) -> slice:
+        return slice(int(self.start[p]) >> 3, int(self.start[p + 1]) >> 3)
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
+    def add(self, keys: np.ndarray, p: int) -> None:
+        if self.start[p + 1] > self.start[p]:
+            for at in self._at(keys, np.full(len(keys), p)):
+                np.bitwise_or.at(self.bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+    def has(self, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Of parts without a stretch (fewer pairs than fill a byte), all."""
         out = np.ones(len(keys), dtype=bool)
-        for at in self._at(keys):
-            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        some = np.flatnonzero(self.start[part + 1] > self.start[part])
+        met = np.ones(len(some), dtype=bool)
+        for at in self._at(keys[some], part[some]):
+            met &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        out[some] = met
         return out
 
 
+def terms(m: kn.Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted distinct ids (V begins a text, V + 1 is any unknown word): log10 of the word's own probability and of its backoff, its count and backoff."""
+    info, V = m.info, m.V
+    p1 = np.log10((m.discount(m.dense("before", ids), info["U"]) + float(np.dot(info["U"], info["u"])) / (V + 1)) / info["T"])
+    total, follow = m.dense("count", ids), m.dense("follow", ids, 3)
+    total[ids == V] = info["docs"]
+    for k, some in info["hot_n"].items():
+        at = np.searchsorted(ids, k)
+        if at < len(ids) and ids[at] == k:
+            follow[at] = some
+    gamma = follow @ np.array(info["D"]) / np.maximum(total, 1)
+    return p1, np.log10(np.where(gamma > 0, gamma, 1.0)), total, gamma
+
+
+def corrections(m: kn.Model, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """What known pairs with counts c add to the weights of their words."""
+    a, b = (keys // np.uint64(m.V + 2)).astype(np.int64), (keys % np.uint64(m.V + 2)).astype(np.int64)
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    p1, back, total, gamma = terms(m, ids)
+    full = m.discount(c, m.info["D"]) / np.maximum(total[a], 1) + gamma[a] * 10 ** p1[b]
+    return np.log10(full) - back[a] - p1[b]
+
+
+def stored(m: kn.Model, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of part p, sorted, and their counts."""
+    keys = m.array("pair", p)
+    if keys is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    c = np.asarray(m.array("pairn", p)).astype(np.int64)
+    big = m.array("pairbig", p)
+    if big.shape[1]:
+        c[big[0]] = big[1]
+    return np.asarray(keys), c
+
+
 def weights(info: dict, spark: SparkSession) -> dict:
-    """Write the shards of weights; what scoring tasks need."""
-    parts, V, folder = info["parts"], info["V"], info["dir"]
-    rest = float(np.dot(info["U"], info["u"]))
-    unknown = math.log10(rest / (V + 1) / info["T"]) if info["N"] else 0.0
-    out = {"dir": folder, "parts": parts, "unknown": unknown, "N": info["N"]}
+    """Write the filter; what scoring tasks need."""
+    parts, folder = info["parts"], info["dir"]
     if not info["N"]:
-        return out | {"end": 0.0, "begin": 0.0, "head": (b"", b"")}
+        return {"info": info, "sizes": [0] * parts, "head": (b"", b"")}
+    m = kn.Model(info)
+    sizes = [0 if (x := m.array("pair", p)) is None else len(x) for p in range(parts)]
+    most = min(max(HEAD, sum(sizes) // HEAD_SHARE), HEAD_MOST)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = kn.Model(info)
+        m, bloom = kn.Model(info), Bloom(sizes, BLOOM_BITS)
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                x = m.array("pair", p)
-                x = np.zeros(0, np.uint64) if x is None else np.asarray(x)
-                a, b = (x // np.uint64(V + 2)).astype(np.int64), (x % np.uint64(V + 2)).astype(np.int64)
-                own = np.arange(m.base[p], m.base[p + 1])
-                ids = np.unique(np.concatenate([own, a, b, [V]]))  # what this range names, not the whole vocabulary; the begin's is the last
-                hashes = np.full(len(ids), BEGIN)
-                at = np.searchsorted(ids, m.base)
-                for q in np.flatnonzero(at[1:] > at[:-1]):
-                    hashes[at[q] : at[q + 1]] = m.vocabulary.hashes(q)[ids[at[q] : at[q + 1]] - m.base[q]]
-                p1 = np.log10((m.discount(m.dense("before", ids), info["U"]) + rest / (V + 1)) / info["T"])
-                total, follow = m.dense("count", ids), m.dense("follow", ids, 3)
-                total[-1] = info["docs"]
-                for k, some in info["hot_n"].items():
-                    follow[ids == k] = some
-                gamma = follow @ np.array(info["D"]) / np.maximum(total, 1)
-                back = np.log10(np.where(gamma > 0, gamma, 1.0))
-                own, a, b = (np.searchsorted(ids, z) for z in (own, a, b))
-                end = own[hashes[own] == np.uint64(kn.END)]
-                own = own[hashes[own] != np.uint64(kn.END)]
-                keys, w, n = [hashes[own]], [p1[own] - unknown + back[own]], [total[own]]
-                if len(x):
-                    c = m.pair_counts(x) if not len(m.hot) else _counts(m, p)
-                    full = (m.discount(c, info["D"]) / np.maximum(total[a], 1)) + gamma[a] * 10 ** p1[b]
-                    keys.append(pair_keys(hashes[a], hashes[b]))
-                    w.append(np.log10(full) - back[a] - p1[b])
-                    n.append(c)
-                k, w, n = mixed(np.concatenate(keys)), np.concatenate(w), np.minimum(np.concatenate(n), 2**16 - 1)
-                s = kn.hash_part(k, parts)
-                order = np.argsort(s, kind="stable")
-                at = np.searchsorted(s[order], np.arange(parts + 1))
-                for shard in np.flatnonzero(at[1:] > at[:-1]):
-                    i = order[at[shard] : at[shard + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())] + [pa.array([z[i].astype(t).tobytes()], pa.binary()) for z, t in ((k, "<u8"), (w, "<f4"), (n, "<u2"))], names=["shard", "keys", "weights", "counts"])
-                if len(end):  # in one range
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.array([p1[end[0]], back[-1]]).tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "keys", "weights", "counts"])
-
-    def store(key: tuple, got: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        k, w, n = (np.concatenate([np.frombuffer(x.as_py(), t) for x in got[c]]) for c, t in (("keys", "<u8"), ("weights", "<f4"), ("counts", "<u2")))
-        if s < 0:
-            return pa.table({"shard": pa.array([s], pa.int32()), "keys": pa.array([b""], pa.binary()), "weights": got["weights"]})
-        order = np.argsort(k, kind="stable")
-        k, w, n = k[order], w[order], n[order]
-        kn.save(folder, f"wkey-{s}", k)
-        kn.save(folder, f"weight-{s}", w)
-        bloom = Bloom()
-        bloom.add(k)
-        at = np.flatnonzero(bloom.bits)
-        kn.save(folder, f"bloomat-{s}", at.astype(np.int32))
-        kn.save(folder, f"bloom-{s}", bloom.bits[at])
-        top = np.sort(np.argsort(-n.astype(np.int64), kind="stable")[: HEAD // parts + 1])
-        return pa.table({"shard": pa.array([s], pa.int32()), "keys": pa.array([k[top].tobytes()], pa.binary()), "weights": pa.array([w[top].tobytes()], pa.binary())})
-
-    rows = spark.range(0, parts, 1, parts).mapInArrow(build, "shard int, keys binary, weights binary, counts binary")
-    got = rows.groupBy("shard").applyInArrow(store, "shard int, keys binary, weights binary").collect()  # HEAD keys and a row a shard
-    tail = next(np.frombuffer(bytes(r["weights"])) for r in got if r["shard"] < 0)
-    k = np.concatenate([np.frombuffer(bytes(r["keys"]), "<u8") for r in got])
-    w = np.concatenate([np.frombuffer(bytes(r["weights"]), "<f4") for r in got if r["shard"] >= 0])
+                keys, c = stored(m, p)
+                bloom.add(keys, p)
+                kn.save(folder, f"bloom-{p}", bloom.bits[bloom.stretch(p)])
+                top = np.sort(np.argsort(-c, kind="stable")[: most // parts + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (keys[top], corrections(m, keys[top], c[top]).astype("<f4"))], names=["keys", "weights"])
+
+    got = spark.range(0, parts, 1, parts).mapInArrow(build, "keys binary, weights binary").collect()  # `most` pairs in all
+    k, w = (np.concatenate([np.frombuffer(bytes(r[c]), t) for r in got]) for c, t in (("keys", "<u8"), ("weights", "<f4")))
     order = np.argsort(k)
-    for name in os.listdir(folder):  # the weights replace them
-        if name.startswith("pair"):
-            os.remove(f"{folder}/{name}")
-    return out | {"end": float(tail[0]), "begin": float(tail[1]), "head": (k[order].tobytes(), w[order].tobytes())}
-
-
-def _counts(m: kn.Model, p: int) -> np.ndarray:
-    """The counts of the pairs stored in part p, in their order."""
-    c = np.asarray(m.array("pairn", p)).astype(np.int64)
-    big = m.array("pairbig", p)
-    if big.shape[1]:
-        c[big[0]] = big[1]
-    return c
+    return {"info": info, "sizes": sizes, "head": (k[order].tobytes(), w[order].tobytes())}
 
 
 def looked_up(keys: np.ndarray, known: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,77 +152,102 @@ def looked_up(keys: np.ndarray, known: np.ndarray, value: np.ndarray) -> tuple[n
     return met, np.where(met, value[at], 0.0)
 
 
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(KINDS)], names=NAMES)
+
+
 def perplexities(docs: DataFrame, w: dict, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob."""
-    spark = docs.sparkSession
-    head = spark.sparkContext.broadcast(w["head"])
-    parts, folder, N = w["parts"], w["dir"], w["N"]
+    head = docs.sparkSession.sparkContext.broadcast(w["head"])
+    info, sizes = w["info"], w["sizes"]
+    parts, folder, N, V = info["parts"], info["dir"], info["N"], info["V"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bloom = WordHashes(), Bloom()
+        m, bloom = kn.Model(info), Bloom(sizes, BLOOM_BITS)
         if N:
-            for s in range(parts):
-                try:
-                    bloom.bits[kn.load(folder, f"bloomat-{s}")] |= kn.load(folder, f"bloom-{s}")
-                except FileNotFoundError:  # no n-gram fell to this shard
-                    continue
+            for p in range(parts):
+                bloom.bits[bloom.stretch(p)] = kn.load(folder, f"bloom-{p}")
         hk, hw = np.frombuffer(head.value[0], "<u8"), np.frombuffer(head.value[1], "<f4")
         number = TaskContext.get().partitionId() << 32
+        texts_held, pairs_held, held = ([], [], [], []), 0, []
+
+        def run() -> pa.RecordBatch:
+            """What is held, and the row that tells its texts, which one shard passes on."""
+            rows = [(number, number % parts, -1, None, None, *texts_held)]
+            if held:
+                keys, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                order = np.argsort(keys)
+                keys, owner = keys[order], owner[order]
+                part = kn.pair_part(keys, info, m.hot)
+                order = np.argsort(part, kind="stable")
+                keys, owner = keys[order], owner[order]
+                at = np.searchsorted(part[order], np.arange(parts + 1))
+                for p in np.flatnonzero(at[1:] > at[:-1]):
+                    i = slice(at[p], at[p + 1])
+                    rows.append((number, int(p), int(at[p + 1] - at[p]), *kn.squeeze(keys[i], owner[i]), None, None, None, None))
+            return batch_of(rows)
+
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, z in kn.chunks(batch):
-                h, n = kn.sequences(texts[a:z], words)
-                starts = np.cumsum(n) - n
-                v = kn.contexts(h.view(np.int64), n, int(BEGIN.view(np.int64))).view(np.uint64)
-                doc = np.repeat(np.arange(z - a, dtype=np.uint64), n)
-                word = h != np.uint64(kn.END)
-                keys, owner = mixed(np.concatenate([h[word], pair_keys(v, h)])), np.concatenate([doc[word], doc])
-                met, value = looked_up(keys, hk, hw)
-                base = np.bincount(owner.astype(np.int64), weights=value, minlength=z - a) + n * w["unknown"] + (w["end"] - w["unknown"]) + w["begin"]
-                rows = [(number, -1, z - a, None, None, batch.column("doc_id")[a:z].to_pylist(), batch.column("lang")[a:z].to_pylist(), n.tolist(), base.tolist())]
-                keys, owner = keys[~met], owner[~met]
-                at = bloom.has(keys)
-                keys, owner = keys[at], owner[at]
-                order = np.argsort(keys)
-                keys, owner = keys[order], owner[order]
-                at = np.searchsorted(kn.hash_part(keys, parts), np.arange(parts + 1))  # shards are ranges of keys
-                for s in np.flatnonzero(at[1:] > at[:-1]):
-                    i = slice(at[s], at[s + 1])
-                    rows.append((number, int(s), int(at[s + 1] - at[s]), *kn.squeeze(keys[i], owner[i]), None, None, None, None))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in ROW.split(", ")])
-                number += 1
+                h, n = kn.sequences(texts[a:z], m.vocabulary.words)
+                base = np.zeros(z - a)
+                if N:
+                    ids, at = np.unique(np.append(m.vocabulary.ids(h), V), return_inverse=True)
+                    p1, back, _, _ = terms(m, ids)
+                    before = kn.contexts(at[:-1], n, at[-1])
+                    weight, v, b = p1[at[:-1]] + back[before], ids[before], ids[at[:-1]]
+                    doc = np.repeat(np.arange(z - a), n)
+                    some = np.flatnonzero((b < V) & (v <= V))  # a pair of an unknown word isn't known
+                    keys = (v[some] * (V + 2) + b[some]).astype(np.uint64)
+                    met, value = looked_up(keys, hk, hw)
+                    weight[some] += value
+                    base = np.bincount(doc, weights=weight, minlength=z - a)
+                    keys, some = keys[~met], some[~met]
+                    at = bloom.has(keys, kn.pair_part(keys, info, m.hot))
+                    keys, some = keys[at], some[at]
+                    held.append((keys, (doc[some] + len(texts_held[0])).astype(np.uint32)))
+                    pairs_held += len(some)
+                for x, y in zip(texts_held, (batch.column("doc_id")[a:z].to_pylist(), batch.column("lang")[a:z].to_pylist(), n.tolist(), base.tolist()), strict=True):
+                    x.extend(y)
+                if pairs_held >= RUN_PAIRS or len(texts_held[0]) >= RUN_TEXTS:
+                    yield run()
+                    number += 1
+                    texts_held, pairs_held = ([], [], [], []), 0
+        if texts_held[0]:
+            yield run()
 
     def join(key: tuple, got: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        try:
-            known, value = kn.load(folder, f"wkey-{s}"), kn.load(folder, f"weight-{s}")
-        except FileNotFoundError:
-            known, value = np.zeros(0, np.uint64), np.zeros(0)
-        docs_out, sums_out = [], []
-        for k, d, n in zip(got["keys"], got["docs"], got["n"], strict=True):
-            keys, owner = kn.spread(k.as_py(), d.as_py(), n.as_py())
+        m, p, rows = kn.Model(info), key[0].as_py(), []
+        known, c = stored(m, p) if N else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        value = corrections(m, known, c) if len(known) else np.zeros(0)
+        for k in range(got.num_rows):
+            r = tuple(got.column(name)[k].as_py() for name in NAMES)
+            if r[2] < 0:
+                rows.append(r)
+                continue
+            keys, owner = kn.spread(r[3], r[4], r[2])
             met, x = looked_up(keys, known, value)
             some, at = np.unique(owner[met], return_inverse=True)
-            docs_out.append(some.astype("<u4").tobytes())
-            sums_out.append(np.bincount(at, weights=x[met], minlength=len(some)).astype("<f4").tobytes())
-        n = len(docs_out)
-        nothing = lambda t: pa.nulls(n, t)
-        return pa.table([got["batch"], pa.array([s] * n, pa.int32()), got["n"], pa.array(sums_out, pa.binary()), pa.array(docs_out, pa.binary()), nothing(pa.list_(pa.int64())), nothing(pa.list_(pa.string())), nothing(pa.list_(pa.int64())), nothing(pa.list_(pa.float64()))], names=[x.split()[0] for x in ROW.split(", ")])
+            if len(some):
+                sums = np.bincount(at, weights=x[met], minlength=len(some)).astype("<f4")
+                rows.append((r[0], p, len(some), *kn.squeeze(some.astype(np.uint64), sums.view("<u4")), None, None, None, None))
+        return pa.Table.from_batches([batch_of(rows)])
 
     def meet(key: tuple, got: pa.Table) -> pa.Table:
-        rows = got.to_pylist()
-        head_row = next(r for r in rows if r["shard"] < 0)
-        total = np.array(head_row["base"])
-        for r in rows:
-            if r["shard"] >= 0:
-                np.add.at(total, np.frombuffer(r["docs"], "<u4").astype(np.int64), np.frombuffer(r["keys"], "<f4"))
-        return pa.table({"doc_id": pa.array(head_row["ids"], pa.int64()), "lang": pa.array(head_row["langs"], pa.string()), "n_tokens": pa.array(head_row["tokens"], pa.int64()), "log10_prob": pa.array(total)})
+        told = got.column("n").to_pylist().index(-1)
+        ids, langs, tokens, base = (got.column(name)[told].as_py() for name in NAMES[5:])
+        total = np.array(base)
+        for k in range(got.num_rows):
+            if k != told:
+                doc, sums = kn.spread(got.column("keys")[k].as_py(), got.column("docs")[k].as_py(), got.column("n")[k].as_py())
+                total[doc.astype(np.int64)] += sums.view("<f4")  # a shard names a text once
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "n_tokens": pa.array(tokens, pa.int64()), "log10_prob": pa.array(total)})
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    sent = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text).mapInArrow(send, ROW))
-    sums = sent.where("shard >= 0").groupBy("shard").applyInArrow(join, ROW)
-    return sent.where("shard < 0").unionByName(sums).groupBy("batch").applyInArrow(meet, "doc_id long, lang string, n_tokens long, log10_prob double")
+    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text).mapInArrow(send, ROW)
+    return sent.groupBy("shard").applyInArrow(join, ROW).groupBy("batch").applyInArrow(meet, "doc_id long, lang string, n_tokens long, log10_prob double")
 
 
 def quantiles(rows: DataFrame, quantile: float) -> dict:
@@ -261,6 +276,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     rows = docs.join(F.broadcast(training) if few else training.hint("merge"), docs[id_col] == F.col("t_id"), "left_semi").select(text)
     info = kn.train(rows)
+    sweep(docs.sparkSession)  # the counts' shuffles
     try:
         scored = perplexities(docs, weights(info, docs.sparkSession), id_col, text_col, lang_col)
         found = cut(scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))))
