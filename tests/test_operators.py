@@ -328,6 +328,65 @@ def test_chunks_by_a_real_tokenizer(spark):
     assert len(got) > 3 and all(r.n_tokens == count(r.text) <= 64 for r in got)
 
 
+def shuffled(spark, run):
+    """Bytes that the shuffles of run() have written."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList()
+
+    def all_stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        got = store.stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return sum(got.apply(k).shuffleWriteBytes() for k in range(got.size()))
+
+    before = all_stages()
+    run()
+    return all_stages() - before
+
+
+def similar_texts(rng, families, members, words):
+    texts = []
+    for _ in range(families):
+        base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+        for _ in range(members):
+            w = list(base)
+            for _ in range(words // 40):
+                w[rng.randrange(words)] = f"x{rng.randrange(9999)}"
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_similar_pairs_send_about_as_much_as_the_texts(spark):
+    """Each shingle once, in few bytes, and each set of a family once, not for each of its pairs."""
+    texts = similar_texts(random.Random(5), 3, 100, 400)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    found, most = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        sent = shuffled(spark, lambda: found.append(validate.similar_pairs(df, 0.7).count()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    times = sent / sum(map(len, texts))
+    assert found == [14850] and times < 8, times
+
+
+def test_similar_pairs_by_small_chunks_ranges_and_blocks(spark, monkeypatch):
+    from textloom.operators import prefix
+
+    monkeypatch.setattr(prefix, "CHUNK", 300)
+    monkeypatch.setattr(prefix, "RANGE_OCTETS", 500)
+    monkeypatch.setattr(validate, "BLOCK", 3)
+    monkeypatch.setattr(validate, "BLOCK_ITEMS", 200)
+    texts = [*similar_texts(random.Random(6), 4, 14, 80), None, "", "a b", "One two three", "one TWO three", "one two three"]
+    df = spark.createDataFrame([(k * 3, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = {k * 3: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in enumerate(texts) if len(w := (t or "").lower().split()) > 2}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    for limit in (0.7, 0.85):
+        for most in (0, validate.MOST_IDS):  # ids that are joined, and such that are sent to all
+            monkeypatch.setattr(validate, "MOST_IDS", most)
+            assert {(r.a, r.b): r.jaccard for r in validate.similar_pairs(df, limit).collect()} == {p: j for p, j in want.items() if j >= limit}
+
+
+
 # --- streams ---
 
 

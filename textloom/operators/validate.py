@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ from ..functions import text as X
 from ..plans import sql as Q
 from ..sources.shared import cut
 from ..sources.tables import table
+from . import prefix
 
 REASONS = ("empty", "too_short", "too_long", "encoding")
 PERMS, PRIME = 128, 2**31 - 1
+MOST_IDS = 2_000_000  # ids to broadcast
+BLOCK, BLOCK_ITEMS = 2_000, 1_000_000  # about the most texts and shingles of a family's block
 
 
 def reason(text: Column, least: int = 50, most: int = 3000) -> Column:
@@ -60,28 +65,66 @@ def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", tex
     them: two sets of similarity t share one among the first n - ceil(t n) + 1 of each. Those
     that no other text has come first and match nothing, so only what is left of these first
     ones is joined, the rare before the common; pairs of sizes too different fall out before
-    the sets are compared.
+    the sets are compared. Sets are made anew of the texts that are left.
     """
-    rows = _representatives(docs, id_col, text_col).select("id", F.transform(word_shingles(F.col("t"), size), lambda s: F.xxhash64(s)).alias("s"))
-    sets = cut(rows.where(F.size("s") > 0))
-    shingles = sets.select("id", F.explode("s").alias("k"))
-    known = shingles.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = shingles.join(known, "k").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("r"))
-    n, first = F.col("n"), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    met = ranked.join(sets.select("id", F.size("s").alias("n")), "id").select("id", "n", F.col("r.k").alias("k"), (first - (n - F.size("r"))).cast("int").alias("left"))
-    prefix = cut(met.where("left > 0").select("id", "n", F.explode(F.slice("k", F.lit(1), F.col("left"))).alias("k")))
-    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "k") for x in "ab")
+    lowered = _representatives(docs, id_col, text_col).select("id", F.lower("t").alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
+    firsts = cut(prefix.prefixes(lowered, threshold, size))
+    a, b = (firsts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "k") for x in "ab")
     pairs = cut(a.join(b, "k").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct())
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    i = F.size(F.array_intersect("x", "y"))
-    j = i / (F.size("x") + F.size("y") - i)
-    return both.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return _confirmed(lowered, pairs, firsts.select("id", "n").distinct(), threshold, size)
+
+
+def _confirmed(lowered: DataFrame, pairs: DataFrame, sizes: DataFrame, threshold: float, size: int) -> DataFrame:
+    """a, b, jaccard of the pairs at or above threshold. sizes: id, n of the sets.
+
+    What pairs connect, directly or over others, is a family. A task compares the pairs of a
+    bundle of small families, or those between two blocks of a large one, so that a set is sent
+    once, or once for each block of its family, and not for each of its pairs.
+    """
+    family = cut(components(pairs).join(sizes, "id"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int")
+    bundles = int((family.agg(F.sum("n")).first()[0] or 0) // BLOCK_ITEMS + 1)
+    one, c = F.col("blocks") == 1, F.xxhash64("c")
+    sized = family.join(family.groupBy("c").agg(blocks.alias("blocks")), "c")
+    placed = cut(sized.select("id", F.when(one, F.pmod(c, F.lit(bundles))).otherwise(c).alias("family"), "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")))
+    between = lambda x, y: [F.when(one, -1).otherwise(f(x, y)).alias(k) for k, f in (("i", F.least), ("j", F.greatest))]
+    ends = [placed.withColumnsRenamed({"id": x, "block": f"block_{x}"}) for x in "ab"]
+    asked = pairs.join(ends[0], "a").join(ends[1].drop("family", "blocks"), "b").select("family", *between("block_a", "block_b"), "a", "b")
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "family", *between("block", "other"))
+    held = prefix.sets(lowered.join(_sent(placed.select("id")), "id", "left_semi"), size).join(dealt, "id")
+
+    def compare(key: tuple, two: pa.Table, held: pa.Table) -> pa.Table:
+        s = held["s"].combine_chunks()
+        items, at = s.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(s.value_lengths().to_numpy()))
+        place = {x: k for k, x in enumerate(held["id"].to_pylist())}
+        partners: dict[int, list[int]] = {}
+        for k, x in enumerate(two["a"].to_pylist()):
+            partners.setdefault(place[x], []).append(k)
+        right = np.array([place[x] for x in two["b"].to_pylist()], np.int64)
+        n, jaccard = np.diff(at), np.empty(len(right))
+        for x, ks in partners.items():
+            own = items[at[x] : at[x + 1]]
+            for k in range(0, len(ks), 64):
+                ys = right[some := np.array(ks[k : k + 64])]
+                theirs = np.concatenate([items[at[y] : at[y + 1]] for y in ys])
+                met = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                common = np.add.reduceat(met, np.append(0, np.cumsum(n[ys])[:-1]), dtype=np.int64)
+                jaccard[some] = common / (n[x] + n[ys] - common)
+        return two.select(["a", "b"]).append_column("jaccard", pa.array(jaccard)).filter(pa.array(jaccard >= threshold))
+
+    by, kind = ("family", "i", "j"), prefix.id_type(placed)
+    return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(compare, f"a {kind}, b {kind}, jaccard double")
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """ids, which are checkpointed, to be broadcast if they are few enough; texts joined with more are shuffled."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
 def _representatives(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, t of the documents (ids unique) that are the least of their content; only ids and hashes are grouped."""
-    copies = exact_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("keeper")).select(id_col)
-    return docs.join(copies, id_col, "left_anti").select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    copies = cut(exact_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("keeper")).select(id_col))
+    return docs.join(_sent(copies), id_col, "left_anti").select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
 
 def minhash(shingles: Column, perms: int = PERMS) -> Column:
