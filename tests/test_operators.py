@@ -386,6 +386,24 @@ def test_similar_pairs_by_small_chunks_ranges_and_blocks(spark, monkeypatch):
             assert {(r.a, r.b): r.jaccard for r in validate.similar_pairs(df, limit).collect()} == {p: j for p, j in want.items() if j >= limit}
 
 
+def test_signatures_equal_plain_loops(spark):
+    import hashlib
+
+    from textloom.functions.shingles import PRIME, minhash_of
+
+    def plain(t, perms):
+        w = t.split()
+        h = {int(hashlib.md5(" ".join(w[i : i + 3]).encode()).hexdigest()[:7], 16) for i in range(len(w) - 2)}
+        return [min((x * (k * 7919 + 12345) + k * 104729) % PRIME for x in h) for k in range(1, perms + 1)]
+
+    rng = random.Random(7)
+    texts = similar_texts(rng, 6, 3, 200) + ["a b c", "é ß ñ ω"]
+    assert all(minhash_of(t, 3, 128).tolist() == plain(t, 128) for t in texts) and minhash_of("a b", 3, 128) is None
+    df = spark.createDataFrame([*enumerate([*texts, texts[0], "a b", None])], "doc_id long, text string")
+    m = [plain(t, 8) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if any(m[a][k : k + 2] == m[b][k : k + 2] for k in (0, 2, 4, 6))}
+    assert {(r.a, r.b) for r in validate.lsh_pairs(df, 4, 2).collect()} == want and want
+
 
 # --- streams ---
 

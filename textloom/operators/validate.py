@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,13 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.shingles import PRIME, minhash_of
 from ..plans import sql as Q
 from ..sources.shared import cut
 from ..sources.tables import table
 from . import prefix
 
 REASONS = ("empty", "too_short", "too_long", "encoding")
-PERMS, PRIME = 128, 2**31 - 1
+PERMS = 128
 MOST_IDS = 2_000_000  # ids to broadcast
 BLOCK, BLOCK_ITEMS = 2_000, 1_000_000  # about the most texts and shingles of a family's block
 
@@ -50,14 +54,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return hashed.join(keepers, "content_hash")
 
 
-def word_shingles(text: Column, size: int = 3) -> Column:
-    """Distinct shingles of lower-case words; none for shorter texts."""
-    return F.transform(
-        F.array(X.words(F.lower(text))),
-        lambda w: F.when(F.size(w) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(size)))))).otherwise(F.array().cast("array<string>")),
-    )[0]
-
-
 def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """a < b, jaccard: pairs of different texts at or above threshold, exactly, by a prefix join.
 
@@ -127,17 +123,21 @@ def _representatives(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.join(_sent(copies), id_col, "left_anti").select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
 
-def minhash(shingles: Column, perms: int = PERMS) -> Column:
-    """perms least values of (a h + b) mod PRIME over 28-bit hashes; no more than one overflow-free BIGINT product each."""
-    h = F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long"))
-    return F.transform(F.array(h), lambda hs: F.transform(F.sequence(F.lit(1), F.lit(perms)), lambda k: F.array_min(F.transform(hs, lambda x: (x * (k * 7919 + 12345) + k * 104729) % PRIME))))[0]
-
-
-def lsh_pairs(docs: DataFrame, bands: int = 8, rows: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lsh_pairs(docs: DataFrame, bands: int = 8, rows: int = 16, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """a < b: representatives of different texts that share a band of their signatures; not confirmed."""
-    signed = _representatives(docs, id_col, text_col).select("id", word_shingles(F.col("t")).alias("s")).where(F.size("s") > 0).select("id", minhash(F.col("s"), bands * rows).alias("m"))
-    keys = signed.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat_ws(":", b, F.array_join(F.slice("m", b * rows + 1, F.lit(rows)).cast("array<string>"), ",")))).alias("k"))
-    keys = keys.select("id", F.md5("k").alias("k"))
+    lowered = _representatives(docs, id_col, text_col).select("id", F.lower("t").alias("t")).where(F.col("t").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in prefix.texts_of(batches):
+            at, keys = [], []
+            for k, t in enumerate(texts):
+                m = minhash_of(t, size, bands * rows)
+                if m is not None:
+                    at += [k] * bands
+                    keys += [hashlib.md5(b"%d:" % b + m[b * rows : (b + 1) * rows].tobytes()).digest() for b in range(bands)]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), pa.array(keys, pa.binary())], names=["id", "k"])
+
+    keys = cut(lowered.mapInArrow(run, f"id {prefix.id_type(lowered)}, k binary"))
     a, b = keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b")
     return a.join(b, "k").where("a < b").select("a", "b").distinct()
 
