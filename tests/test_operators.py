@@ -328,6 +328,28 @@ def test_chunks_by_a_real_tokenizer(spark):
     assert len(got) > 3 and all(r.n_tokens == count(r.text) <= 64 for r in got)
 
 
+def test_chunks_come_in_small_batches():
+    import pyarrow as pa
+
+    asked = []
+
+    def count(t):
+        asked.append(t)
+        return len(t.split())
+
+    text = "\n".join(f"number {k} of the lines" for k in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([text] * 999 + [None])], names=["doc_id", "text"])
+    sizes, rows = [], 0
+    for ids, places, chunks, tokens in records.chunk_rows(iter([batch]), count, 100, 10, "\n"):
+        sizes.append(sum(map(len, chunks)))
+        assert len(ids) == len(places) == len(chunks) == len(tokens)
+        if len(sizes) == 1:  # the first leave before most texts have been looked at
+            assert len(asked) < 400 * 300
+        rows += len(ids)
+    one = records.chunk(text, count, 100, 10, "\n")
+    assert rows == 999 * len(one) and max(sizes) < records.HELD + 1000 and len(sizes) > 5
+
+
 def shuffled(spark, run):
     """Bytes that the shuffles of run() have written."""
     sc = spark.sparkContext

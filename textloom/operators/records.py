@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +93,7 @@ class TokenizerCount:
         return len(self._open[self.path].encode(text, add_special_tokens=False).ids)
 
 
+HELD = 1_000_000  # about the most characters of chunks that a task holds
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -133,12 +134,29 @@ def chunk(text: str, count: Callable[[str], int], size: int, overlap: int, separ
 def token_chunks(docs: DataFrame, size: int = 2048, overlap: int = 256, count: Callable[[str], int] = estimated_tokens, separator: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, chunk_idx, text, n_tokens; `count` gives a text's tokens and may be any tokenizer's."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, k, c, count(c)) for i, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True) for k, c in enumerate(chunk(t or "", count, size, overlap, separator))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_idx", "text", "n_tokens"])
-
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInPandas(run, f"{id_col} long, chunk_idx int, text string, n_tokens int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in chunk_rows(batches, count, size, overlap, separator):
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=[id_col, "chunk_idx", "text", "n_tokens"])
+
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, chunk_idx int, text string, n_tokens int")
+
+
+def chunk_rows(batches: Iterator[pa.RecordBatch], count: Callable[[str], int], size: int, overlap: int, separator: str) -> Iterator[tuple[list, list, list, list]]:
+    """Lists of ids, places, chunks and their tokens, again and again when HELD characters of chunks have come
+    together; of the texts (ids and texts in batches) one at a time is Python's."""
+    rows: tuple[list, list, list, list] = ([], [], [], [])
+    held = 0
+    for batch in batches:
+        for i, t in zip(batch.column(0), batch.column(1), strict=True):
+            for k, c in enumerate(chunk(t.as_py() or "", count, size, overlap, separator)):
+                for x, v in zip(rows, (i.as_py(), k, c, count(c)), strict=True):
+                    x.append(v)
+                held += len(c)
+                if held >= HELD:
+                    yield rows
+                    rows, held = ([], [], [], []), 0
+    if held:
+        yield rows
 
 
 def system_prompt(key: Column, override: str | None = None, prompts: dict[str, str] = SYSTEM_PROMPTS, default: str = DEFAULT_SYSTEM) -> Column:
