@@ -65,7 +65,7 @@ def unpacked(low: bytes, high: bytes, begin: int) -> np.ndarray:
 
 
 def prefixes(lowered: DataFrame, threshold: float, size: int) -> DataFrame:
-    """id, n (size of its set), k of lower-case texts (id, t), neither null."""
+    """id, n (size of its set), rest (how many shingles come from k on), k of lower-case texts (id, t), neither null."""
     kind = id_type(lowered)
     octets = lowered.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = int(min(2**16, octets // RANGE_OCTETS + 1))
@@ -136,10 +136,11 @@ def prefixes(lowered: DataFrame, threshold: float, size: int) -> DataFrame:
         k, doc, q = k[some], doc[some], q[some]
         order = np.lexsort((k, q, doc))
         k, doc = k[order], doc[order].astype(np.int64)
-        first = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(n)))[doc] < left[doc]
-        doc = doc[first]
-        return pa.table({"id": ids.take(pa.array(doc)), "n": pa.array(n[doc]), "k": pa.array(k[first].view(np.int64))})
+        place = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(n)))[doc]
+        first = place < left[doc]
+        doc, place = doc[first], place[first]
+        return pa.table({"id": ids.take(pa.array(doc)), "n": pa.array(n[doc]), "rest": pa.array((n[doc] - alone[doc] - place).astype(np.int32)), "k": pa.array(k[first].view(np.int64))})
 
     sent = lowered.mapInArrow(send, f"part int, chunk long, {blobs}, ids array<{kind}>, n array<int>")
     counted = sent.groupBy("part").applyInArrow(count, f"part int, chunk long, {blobs}, q binary, ids array<{kind}>, n array<int>")
-    return counted.groupBy("chunk").applyInArrow(rank, f"id {kind}, n int, k long")
+    return counted.groupBy("chunk").applyInArrow(rank, f"id {kind}, n int, rest int, k long")

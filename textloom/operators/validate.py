@@ -60,13 +60,15 @@ def similar_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", tex
     Equal texts count once, by their least id. Shingles stand in order of how many texts have
     them: two sets of similarity t share one among the first n - ceil(t n) + 1 of each. Those
     that no other text has come first and match nothing, so only what is left of these first
-    ones is joined, the rare before the common; pairs of sizes too different fall out before
-    the sets are compared. Sets are made anew of the texts that are left.
+    ones is joined, the rare before the common; pairs of sizes too different, and those that meet
+    where too few shingles are left, fall out before the sets are compared. Sets are made anew of the texts that are left.
     """
     lowered = _representatives(docs, id_col, text_col).select("id", F.lower("t").alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
     firsts = cut(prefix.prefixes(lowered, threshold, size))
-    a, b = (firsts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "k") for x in "ab")
-    pairs = cut(a.join(b, "k").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct())
+    a, b = (firsts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"rest{x}"), "k") for x in "ab")
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
+    enough = F.least("resta", "restb") * (1 + threshold) >= (F.col("na") + F.col("nb")) * threshold - 1e-6
+    pairs = cut(a.join(b, "k").where((F.col("a") < F.col("b")) & near & enough).select("a", "b").distinct())
     return _confirmed(lowered, pairs, firsts.select("id", "n").distinct(), threshold, size)
 
 
